@@ -22,14 +22,24 @@ def _length(items: str) -> Column:
     return F.size(F.coalesce(F.col(items), F.array().cast("array<string>"))).cast("long")
 
 
-def page_stats(pages: DataFrame) -> DataFrame:
-    """Per page: edit rate, distinct links, numbers of bigrams and trigrams."""
-    links = F.array_distinct(F.coalesce(F.col("links"), F.array().cast("array<string>")))
-    identity = [name for name in ("id_page", "title", "url") if name in pages.columns]
+def page_stats(pages: DataFrame, link_counts: DataFrame | None = None) -> DataFrame:
+    """Per page: edit rate, distinct links, numbers of bigrams and trigrams.
+
+    Links are the page's own array, or come counted as (id_page, distinct_links)
+    where they are kept as a table of their own.
+    """
+    if link_counts is None:
+        links = F.array_distinct(F.coalesce(F.col("links"), F.array().cast("array<string>")))
+        distinct = F.size(links).cast("long")
+    else:
+        pages = pages.join(link_counts, "id_page", "left")
+        distinct = F.coalesce(F.col("distinct_links"), F.lit(0)).cast("long")
     return pages.select(
-        *identity,
+        "id_page",
+        "title",
+        "url",
         F.coalesce(F.col("edits_per_day"), F.lit(0.0)).cast("double").alias("edits_per_day"),
-        F.size(links).cast("long").alias("distinct_links"),
+        distinct.alias("distinct_links"),
         _length("bigrams").alias("quant_set2"),
         _length("trigrams").alias("quant_set3"),
         F.lit(1).cast("long").alias("total_repetitions"),

@@ -17,6 +17,12 @@ def page_link_occurrences(pages: DataFrame, source: str = "url") -> DataFrame:
     return links.withColumnRenamed(source, "src")
 
 
+def link_counts(occurrences: DataFrame) -> DataFrame:
+    """Distinct links of each source."""
+    counts = occurrences.groupBy("src").agg(F.count_distinct("dst").alias("distinct_links"))
+    return counts.withColumnRenamed("src", "id_page")
+
+
 def link_edges(occurrences: DataFrame) -> DataFrame:
     """Distinct edges between different, known ends."""
     ends = occurrences.select("src", "dst")
