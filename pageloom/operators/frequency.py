@@ -72,13 +72,17 @@ def _heads(pages: DataFrame, n: int, page: str) -> DataFrame:
     return exploded(pages, [page], F.col(GRAM_COLUMN[n]), "gram").filter(valid)
 
 
-def _parts(gram: Column, n: int) -> list[Column]:
-    return [F.split_part(gram, F.lit(" "), F.lit(i)).alias(f"word{i}") for i in range(1, n + 1)]
+def _with_parts(rows: DataFrame, n: int) -> DataFrame:
+    """Add word1 ... wordn, the first n parts of ``gram``."""
+    split = rows.withColumn("parts", F.split("gram", " "))
+    for at, name in enumerate(gram_words(n)):
+        split = split.withColumn(name, F.col("parts")[at])
+    return split
 
 
 def gram_split(pages: DataFrame, n: int, page: str = "id_page") -> DataFrame:
     """One row per n-gram occurrence, with its words."""
-    return _heads(pages, n, page).select(page, "gram", *_parts(F.col("gram"), n))
+    return _with_parts(_heads(pages, n, page), n).select(page, "gram", *gram_words(n))
 
 
 def gram_page_frequency(pages: DataFrame, n: int, page: str = "id_page") -> DataFrame:
@@ -94,7 +98,7 @@ def gram_page_frequency(pages: DataFrame, n: int, page: str = "id_page") -> Data
         .groupBy(page, "gram")
         .agg(F.count(F.lit(1)).alias("repetition_count"))
     )
-    return counts.select(page, *_parts(F.col("gram"), n), "repetition_count")
+    return _with_parts(counts, n).select(page, *gram_words(n), "repetition_count")
 
 
 def dictionary(frequency: DataFrame, keys: list[str], id_column: str) -> DataFrame:

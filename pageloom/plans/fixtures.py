@@ -9,6 +9,7 @@ from pageloom.functions.urls import LinkRules
 from pageloom.operators import frequency as freq
 from pageloom.operators import graph
 from pageloom.operators.prepare import edit_rate, with_terms
+from pageloom.sources.records import spread
 
 # The pages table links site-relative, as in "/The".
 RULES = LinkRules(base="https://wiki.example.org/wiki/", rooted="/", marker="example.org/wiki/")
@@ -20,12 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages; ``title`` repeats, ``url`` is unique."""
-    return read(spark, sf_dir, "documents").select(
+    pages = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id_page"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("title"),
         "text",
     )
+    return spread(pages, "id_page")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Word totals over the whole of a table that has a ``text`` column."""
-    return freq.word_totals(with_terms(read(spark, sf_dir, table)))
+    return freq.word_totals(with_terms(spread(read(spark, sf_dir, table).select("text"), "text")))
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pageloom.plans import fixtures as fx
 from pageloom.plans.job import analysis_tables
 from pageloom.scratch import materialize, scratch_path
 from pageloom.sources import sinks
-from pageloom.sources.records import load_pages
+from pageloom.sources.records import load_pages, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,7 +110,8 @@ def page_update_connectivity(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    return prepare.page_text(fx.read(spark, sf_dir, "pages"))
+    pages = fx.read(spark, sf_dir, "pages").select("page_id", "html")
+    return prepare.page_text(spread(pages, "page_id"))
 
 
 @query

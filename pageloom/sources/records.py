@@ -8,6 +8,18 @@ from pyspark.sql import types as T
 from pageloom.schema import PAGE_RECORD, TABLES
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input of few splits (a small file, one row group).
+
+    Tokenising is the costly part, so it should not run in a single task. An
+    input with a split for every core is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(3 * cores, key)
+
+
 def load_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page records from JSON lines, without those that have no title.
 
