@@ -43,6 +43,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application."""
+    """Delete the intermediate tables of this application.
+
+    Results that have not been read yet depend on them.
+    """
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
