@@ -37,7 +37,7 @@ def session(cpus: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("pageloom-bench")
-        .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_PARTITIONS", "24"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
