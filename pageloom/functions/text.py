@@ -59,3 +59,15 @@ def exploded(df: DataFrame, keep: list[str], items: Column, alias: str) -> DataF
     """
     rows = df.select(*keep, F.explode_outer(items).alias(alias))
     return rows.filter(F.col(alias).isNotNull() & (F.col(alias) != ""))
+
+
+def collated(pages: DataFrame, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """Page records whose words compare under a collation.
+
+    Counts and dictionaries over them merge spellings that the collation takes
+    as equal, such as those that differ in accents. The default without this is
+    binary comparison.
+    """
+    kind = f"array<string collate {collation}>"
+    names = [name for name in ("word_list", "bigrams", "trigrams") if name in pages.columns]
+    return pages.withColumns({name: F.col(name).cast(kind) for name in names})

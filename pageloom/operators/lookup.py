@@ -2,7 +2,8 @@
 
 Each takes the dict of result tables and its argument, and returns ordered rows.
 A null argument raises ``ValueError``; an unknown page or word gives no rows.
-Words match regardless of case, URLs exactly.
+Words match regardless of case, URLs exactly. With a ``collation`` such as
+``UNICODE_CI_AI`` words also match regardless of accents.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ def _limit(value: int | None, default: int) -> int:
     return value if value is not None and value > 0 else default
 
 
-def _matching(rows: DataFrame, words: dict[str, str]) -> DataFrame:
+def _matching(rows: DataFrame, words: dict[str, str], collation: str | None) -> DataFrame:
     """Rows whose words equal the arguments, ignoring case.
 
     Stored tables hold a lowered copy of each word (``word_key`` and so on) and
     are sorted by it, so the comparison reaches the parquet scan.
     """
     for name, value in words.items():
+        if collation is not None:
+            same = F.collate(F.col(name), collation) == F.lit(_given(name, value))
+            rows = rows.filter(same)
+            continue
         key = f"{name}_key"
         column = F.col(key) if key in rows.columns else F.lower(name)
         rows = rows.filter(column == F.lower(F.lit(_given(name, value))))
@@ -47,18 +52,20 @@ def _pages_of(tables: Tables, facts: DataFrame, page: str, value: Column) -> Dat
     )
 
 
-def top_pages_by_word(tables: Tables, word: str) -> DataFrame:
-    facts = _matching(tables["word_page"], {"word": word})
+def top_pages_by_word(tables: Tables, word: str, collation: str | None = None) -> DataFrame:
+    facts = _matching(tables["word_page"], {"word": word}, collation)
     found = _pages_of(tables, facts, "id_page", F.col("quantity").alias("QUANTITY"))
     return found.orderBy(F.desc("QUANTITY"), "URL")
 
 
-def top_pages_by_gram(tables: Tables, *words: str) -> DataFrame:
+def top_pages_by_gram(
+    tables: Tables, *words: str, collation: str | None = None
+) -> DataFrame:
     """Pages by occurrences of a word pair or triple."""
     if len(words) not in (2, 3):
         raise ValueError("give two or three words")
     named = {f"word{i}": word for i, word in enumerate(words, 1)}
-    facts = _matching(tables[f"set{len(words)}_page"], named)
+    facts = _matching(tables[f"set{len(words)}_page"], named, collation)
     count = F.col("repetition_count").alias("REPETITION_COUNT")
     found = _pages_of(tables, facts, "id_page", count)
     return found.orderBy(F.desc("REPETITION_COUNT"), "URL")
@@ -155,8 +162,8 @@ def top_hub_pages(tables: Tables, limit: int | None = 15) -> DataFrame:
     )
 
 
-def word_repetitions(tables: Tables, word: str) -> DataFrame:
-    found = _matching(tables["word"], {"word": word})
+def word_repetitions(tables: Tables, word: str, collation: str | None = None) -> DataFrame:
+    found = _matching(tables["word"], {"word": word}, collation)
     return found.select(
         F.col("word").alias("WORD"), F.col("total_repetitions").alias("TOTAL_REPETITIONS")
     ).orderBy("WORD")

@@ -21,18 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages; ``title`` repeats, ``url`` is unique."""
-    pages = read(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id_page"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("title"),
         "text",
     )
-    return spread(pages, "id_page")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their kept words and n-grams."""
-    return with_terms(documents(spark, sf_dir))
+    return with_terms(spread(documents(spark, sf_dir), "id_page"))
 
 
 def words_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -121,7 +121,8 @@ def page_title(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir).withColumn("words", tokens(F.col("text")))
+    docs = spread(fx.documents(spark, sf_dir), "id_page")
+    docs = docs.withColumn("words", tokens(F.col("text")))
     return docs.select("id_page", *_joined("words"))
 
 

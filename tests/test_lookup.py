@@ -96,6 +96,16 @@ def test_totals(tables):
     assert answer(lookup.available_pages(tables, 1)) == [(IA, A)]
 
 
+def test_collation_ignores_accents(tables):
+    assert answer(lookup.word_repetitions(tables, "automatico")) == []
+    found = lookup.word_repetitions(tables, "AUTOMATICO", collation="UNICODE_CI_AI")
+    assert answer(found) == [("automático", 80)]
+    pair = lookup.top_pages_by_gram(
+        tables, "Aprendizaje", "automatico", collation="UNICODE_CI_AI"
+    )
+    assert answer(pair) == [(B, ML, 15)]
+
+
 def test_null_and_unknown_arguments(tables):
     for call in (
         lambda: lookup.top_pages_by_word(tables, None),

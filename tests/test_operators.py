@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import collated
 from pageloom.operators import frequency as freq
 from pageloom.operators import graph, prepare
 from pageloom.operators import similarity as sim
@@ -56,6 +57,15 @@ def test_counts_with_null_and_empty(spark):
     assert rows(freq.page_word_share(df).filter("id_page = 3")) == [(3, "a", 1, 100.0, 1.0)]
 
 
+def test_collated_counts_merge_accents(spark):
+    df = pages(spark, page(1, ["automático", "automatico", "otro"]))
+    assert rows(freq.word_page_frequency(df))[0][2] == 1
+    found = freq.word_page_frequency(collated(df)).collect()
+    assert sorted(row["quantity"] for row in found) == [1, 2]
+    totals = freq.word_totals(collated(df)).collect()
+    assert sorted(row["total_repetitions"] for row in totals) == [1, 2]
+
+
 def test_same_title_does_not_multiply(spark):
     df = pages(spark, page(1, ["a"], title="x"), page(2, ["a"], title="x"))
     assert rows(freq.word_page_relation(df)) == [(1, 1, 1), (1, 2, 1)]
