@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
 
+# Ids of one term (its spellings in upper and lower case) that become a filter;
+# beyond that they are joined.
+MAX_IDS = 1000
+
 
 def _given(name: str, value):
     if value is None:
@@ -27,8 +31,8 @@ def _limit(value: int | None, default: int) -> int:
 def _matching(rows: DataFrame, words: dict[str, str], collation: str | None) -> DataFrame:
     """Rows whose words equal the arguments, ignoring case.
 
-    Stored tables hold a lowered copy of each word (``word_key`` and so on) and
-    are sorted by it, so the comparison reaches the parquet scan.
+    Stored dictionaries hold a lowered copy of each word (``word_key`` and so
+    on) and are sorted by it, so the comparison reaches the parquet scan.
     """
     for name, value in words.items():
         if collation is not None:
@@ -41,6 +45,25 @@ def _matching(rows: DataFrame, words: dict[str, str], collation: str | None) ->
     return rows
 
 
+def _facts(
+    tables: Tables, fact: str, terms: str, words: dict[str, str], collation: str | None
+) -> DataFrame:
+    """Rows of a fact table for the given words.
+
+    Stored facts hold term ids and are sorted by them. The few ids the words
+    stand for are looked up in the dictionary and become a filter that the scan
+    prunes by. Facts that still carry their words are filtered directly.
+    """
+    rows = tables[fact]
+    if set(words) <= set(rows.columns):
+        return _matching(rows, words, collation)
+    ids = _matching(tables[terms], words, collation).select(f"id_{terms}")
+    few = ids.limit(MAX_IDS + 1).collect()
+    if len(few) > MAX_IDS:
+        return rows.join(ids, f"id_{terms}")
+    return rows.filter(F.col(f"id_{terms}").isin([row[0] for row in few]))
+
+
 def page_by_url(tables: Tables, url: str) -> DataFrame:
     return tables["page"].filter(F.col("url") == F.lit(_given("url", url)))
 
@@ -53,7 +76,7 @@ def _pages_of(tables: Tables, facts: DataFrame, page: str, value: Column) -> Dat
 
 
 def top_pages_by_word(tables: Tables, word: str, collation: str | None = None) -> DataFrame:
-    facts = _matching(tables["word_page"], {"word": word}, collation)
+    facts = _facts(tables, "word_page", "word", {"word": word}, collation)
     found = _pages_of(tables, facts, "id_page", F.col("quantity").alias("QUANTITY"))
     return found.orderBy(F.desc("QUANTITY"), "URL")
 
@@ -65,7 +88,8 @@ def top_pages_by_gram(
     if len(words) not in (2, 3):
         raise ValueError("give two or three words")
     named = {f"word{i}": word for i, word in enumerate(words, 1)}
-    facts = _matching(tables[f"set{len(words)}_page"], named, collation)
+    terms = f"set{len(words)}"
+    facts = _facts(tables, f"{terms}_page", terms, named, collation)
     count = F.col("repetition_count").alias("REPETITION_COUNT")
     found = _pages_of(tables, facts, "id_page", count)
     return found.orderBy(F.desc("REPETITION_COUNT"), "URL")
@@ -88,7 +112,10 @@ def shared_trigrams_of_page(tables: Tables, url: str) -> DataFrame:
 
 
 def _words_of(tables: Tables, url: str) -> DataFrame:
-    return tables["page_word"].join(page_by_url(tables, url).select("id_page"), "id_page")
+    words = tables["page_word"].join(page_by_url(tables, url).select("id_page"), "id_page")
+    if "word" in words.columns:
+        return words
+    return words.join(tables["word"].select("id_word", "word"), "id_word")
 
 
 def words_of_page(tables: Tables, url: str) -> DataFrame:

@@ -9,17 +9,17 @@ from pageloom.operators.ids import assign_ids
 from pageloom.schema import TABLES
 from pageloom.scratch import materialize
 
-# What each stored table is sorted by; words are stored lowered beside the text,
-# so a lookup's filter prunes parquet row groups.
+# What each stored table is sorted by, so that a lookup's filter prunes parquet row
+# groups. Dictionaries hold the words lowered beside the text.
 SORT = {
     "page": ["url"],
     "word": ["word_key"],
     "set2": ["word1_key", "word2_key"],
     "set3": ["word1_key", "word2_key", "word3_key"],
-    "word_page": ["word_key", "id_page"],
-    "set2_page": ["word1_key", "word2_key", "id_page"],
-    "set3_page": ["word1_key", "word2_key", "word3_key", "id_page"],
-    "page_word": ["id_page", "word_key"],
+    "word_page": ["id_word", "id_page"],
+    "set2_page": ["id_set2", "id_page"],
+    "set3_page": ["id_set3", "id_page"],
+    "page_word": ["id_page", "id_word"],
     "shared2": ["id_page1", "rank"],
     "shared3": ["id_page1", "rank"],
 }

@@ -1,5 +1,7 @@
 """The sample rows of all tables, and the answers that follow from them."""
 
+import re
+
 import pytest
 
 from pageloom.operators import lookup
@@ -24,20 +26,14 @@ SAMPLE = {
     ],
     "set2": [(1, "inteligencia", "artificial"), (2, "aprendizaje", "automático")],
     "set3": [(1, "redes", "neuronales", "artificiales"), (2, "aprendizaje", "no", "supervisado")],
-    "word_page": [(1, "inteligencia", 1, 30), (3, "aprendizaje", 2, 30)],
-    "set2_page": [
-        (1, "inteligencia", "artificial", 1, 18),
-        (2, "aprendizaje", "automático", 2, 15),
-    ],
-    "set3_page": [
-        (1, "redes", "neuronales", "artificiales", 1, 10),
-        (2, "aprendizaje", "no", "supervisado", 2, 12),
-    ],
+    "word_page": [(1, 1, 30), (3, 2, 30)],
+    "set2_page": [(1, 1, 18), (2, 2, 15)],
+    "set3_page": [(1, 1, 10), (2, 2, 12)],
     "page_word": [
-        (1, 1, "inteligencia", 30, 0.15, 0.15),
-        (1, 2, "artificial", 20, 0.10, 0.10),
-        (2, 3, "aprendizaje", 30, 0.20, 0.20),
-        (2, 4, "automático", 15, 0.10, 0.10),
+        (1, 1, 30, 0.15, 0.15),
+        (1, 2, 20, 0.10, 0.10),
+        (2, 3, 30, 0.20, 0.20),
+        (2, 4, 15, 0.10, 0.10),
     ],
     "shared2": [(1, 2, 3, 1)],
     "shared3": [(1, 2, 2, 1)],
@@ -61,6 +57,14 @@ def test_pages_by_words(tables):
     assert answer(triple) == [(B, ML, 12)]
 
 
+def test_many_ids_are_joined(tables, monkeypatch):
+    monkeypatch.setattr(lookup, "MAX_IDS", 0)
+    assert answer(lookup.top_pages_by_word(tables, "INTELIGENCIA")) == [(A, IA, 30)]
+    facts = tables["word_page"].join(tables["word"].select("id_word", "word"), "id_word")
+    worded = {**tables, "word_page": facts}
+    assert answer(lookup.top_pages_by_word(worded, "Inteligencia")) == [(A, IA, 30)]
+
+
 def test_shared_sets(tables):
     assert answer(lookup.shared_bigrams_of_page(tables, IA)) == [(B, ML, 3)]
     assert answer(lookup.shared_bigrams_of_page(tables, ML)) == []
@@ -147,5 +151,7 @@ def test_lookup_reaches_the_stored_table(spark, tables, tmp_path):
     found = lookup.top_pages_by_word(stored, "Inteligencia")
     assert answer(found) == [(A, IA, 30)]
     plan = found._jdf.queryExecution().toString()
-    assert "EqualTo(word_key,inteligencia)" in plan
+    assert re.search(r"PushedFilters: \[[^\]]*id_word", plan)
+    words = lookup.word_repetitions(stored, "Inteligencia")
+    assert "EqualTo(word_key,inteligencia)" in words._jdf.queryExecution().toString()
     assert rows(stored["shared2"].select("id_page1", "id_page2")) == [(1, 2)]
