@@ -10,12 +10,13 @@ from pageloom.schema import TABLES
 from pageloom.scratch import materialize
 
 # What each stored table is sorted by, so that a lookup's filter prunes parquet row
-# groups. Dictionaries hold the words lowered beside the text.
+# groups. Dictionaries hold the words lowered beside the text. Those of n-grams are
+# in word order already, because their ids were assigned in it.
 SORT = {
     "page": ["url"],
     "word": ["word_key"],
-    "set2": ["word1_key", "word2_key"],
-    "set3": ["word1_key", "word2_key", "word3_key"],
+    "set2": None,
+    "set3": None,
     "word_page": ["id_word", "id_page"],
     "set2_page": ["id_set2", "id_page"],
     "set3_page": ["id_set3", "id_page"],
