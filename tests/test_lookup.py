@@ -13,6 +13,7 @@ IA = "https://es.wikipedia.org/wiki/IA"
 ML = "https://es.wikipedia.org/wiki/ML"
 A, B = "Inteligencia Artificial", "Aprendizaje Automático"
 
+# The sample rows whose answers are known.
 SAMPLE = {
     "page": [
         (1, A, IA, 5.0, 8, 10, 7, 0, 0, 8, 8, 200),
