@@ -8,25 +8,32 @@ depend on the physical partitioning (surrogate ids).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: tempfile.TemporaryDirectory | None = None
+_chosen: str | None = None
+
+
+def use_folder(folder: str) -> None:
+    """Folder for sessions that do not set ``spark.checkpoint.dir``; every executor must see it."""
+    global _chosen
+    _chosen = folder
+
+
+def _base(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or _chosen
+
+
+def is_set(spark: SparkSession) -> bool:
+    return _base(spark) is not None
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application."""
-    global _local_folder
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if _local_folder is None:
-            _local_folder = tempfile.TemporaryDirectory(prefix="pageloom-")
-        base = _local_folder.name
+    base = _base(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/pageloom-{spark.sparkContext.applicationId}"
 
 
