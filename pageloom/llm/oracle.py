@@ -18,8 +18,8 @@ WITH RECURSIVE octets(value, register, step) AS (
          xor(4294967295, list_reduce(
            list_prepend(4294967295::BIGINT,
              list_transform(range(0, size - 1),
-                            i -> ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
-           (register, octet) ->
+                            lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+           lambda register, octet:
              xor(entry[(xor(register, octet) & 255) + 1], register >> 8))) AS text_crc32
   FROM sized, crc
 ), placed AS (
