@@ -9,8 +9,9 @@ passes ``threshold`` is a span of kind ``markov`` unless it meets a base span.
 The models are trained from labelled samples (string, is_secret). By default
 these come from the texts themselves: values of base spans are random strings,
 words of a sample of about ``sample`` documents (by hash of the id) without
-those spans are identifiers. Character pairs are counted with add-one
-smoothing over the printable ASCII characters.
+those spans are identifiers. Pairs of printable ASCII characters are counted;
+a pair's probability is drawn to that of its second character by the weight of
+_BACKOFF pairs, and single characters are counted with add-one smoothing.
 
 Positions are code points, ends exclusive. Nulls: a null text is empty, which
 has no spans and the digest of the empty string. Repeated rows give repeated
@@ -45,6 +46,7 @@ BASE = [
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 _SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 _FIRST, _CODES = 32, 96  # printable ASCII and one class for all else
+_BACKOFF = 8.0
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -149,7 +151,10 @@ def train(samples: DataFrame) -> list[float]:
             if row["is_secret"] == label:
                 seen[row["pair"]] = row["n"]
         rows = [seen[i : i + _CODES] for i in range(0, len(seen), _CODES)]
-        tables[label] = [math.log((n + 1) / (sum(row) + _CODES)) for row in rows for n in row]
+        single = [(sum(column) + 1) / (sum(seen) + _CODES) for column in zip(*rows)]
+        tables[label] = [
+            math.log((n + _BACKOFF * p) / (sum(row) + _BACKOFF)) for row in rows for n, p in zip(row, single)
+        ]
     return [a - b for a, b in zip(tables[True], tables[False])]
 
 

@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic
-function of its words' features, and the document's is their noisy-or,
+function of its words' features, or 0 if it has none of them, so a text is not
+suspect for its length. The document's probability is their noisy-or,
 1 - prod(1 - p). Only document labels are known; the weights maximise the
 likelihood of those labels, so sentences are never labelled. Afterwards the
 sentence probabilities say where the offence is.
@@ -9,13 +10,13 @@ sentence probabilities say where the offence is.
 Features of a word are the word itself (lower case) and its character 4- and
 5-grams with the word's borders, so inflected and joined forms share evidence.
 The fit uses a sample of about ``sample`` labelled rows, chosen by hash of the
-id; the features are the ``most`` that differ most between the labels. Scoring
+id; the features are the ``most`` that toxic documents have most above clean ones. Scoring
 covers every whole text.
 
-Nulls: a null text is empty; a document without words has no sentences and the
-score 0. Rows with a null label, or with an id that is not unique in ``labels``
+Nulls: a null text is empty; a document without words or features has the score
+0. Rows with a null label, or with an id that is not unique in ``labels``
 with different labels, are not learned from. Repeated rows give repeated rows.
-Without labels of both kinds every score is that of a model without features.
+Without labels of both kinds there are no features and every score is 0.
 """
 
 from __future__ import annotations
@@ -60,22 +61,26 @@ class NoisyOr:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._words: dict[str, float] = {}
+        self._words: dict[str, tuple[str, ...]] = {}
 
-    def _word(self, word: str) -> float:
-        weight = self._words.get(word)
-        if weight is None:
+    def _word(self, word: str) -> tuple[str, ...]:
+        """Features of a word that have a weight."""
+        found = self._words.get(word)
+        if found is None:
             if len(self._words) >= _CACHE:
                 self._words.clear()
-            weight = sum(self.weights.get(f, 0.0) for f in set(word_features(word)))
-            self._words[word] = weight
-        return weight
+            found = tuple(f for f in word_features(word) if f in self.weights)
+            self._words[word] = found
+        return found
 
     def score(self, text: str, locate: float) -> tuple[float, list[tuple[int, int]]]:
         """Probability of the text and the spans of sentences of at least ``locate``."""
         clean, spans = 0.0, []
         for start, end, words in sentences(text):
-            z = self.bias + sum(map(self._word, words))
+            found = {f for w in words for f in self._word(w)}
+            if not found:
+                continue
+            z = self.bias + sum(self.weights[f] for f in sorted(found))
             clean += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
             if 1 / (1 + math.exp(-max(-500.0, z))) >= locate:
                 spans.append((start, end))
@@ -83,44 +88,34 @@ class NoisyOr:
 
 
 def fit_weights(
-    bags: list[tuple[int, int, list[list[int]]]],
+    bags: list[tuple[int, list[list[int]]]],
     features: int,
     steps: int = 400,
     rate: float = 0.1,
     ridge: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias from bags (label, sentences without features, features of the others).
+    """Weights and bias from bags (label, features of each sentence that has some).
 
     The loss of a clean document is A = sum of softplus(z) over its sentences,
     that of a toxic one -log(1 - exp(-A)); its slope in z is sigmoid(z) times 1
     or -1 / (exp(A) - 1).
     """
     label = np.array([b[0] for b in bags], dtype=bool)
-    bare = np.array([b[1] for b in bags], dtype=float)
-    owner = np.array([i for i, b in enumerate(bags) for _ in b[2]], dtype=np.int64)
-    rows = [s for b in bags for s in b[2]]
+    owner = np.array([i for i, b in enumerate(bags) for _ in b[1]], dtype=np.int64)
+    rows = [s for b in bags for s in b[1]]
     row = np.repeat(np.arange(len(rows)), [len(s) for s in rows])
     column = np.array([f for s in rows for f in s], dtype=np.int64)
     weights, bias = np.zeros(features), -4.0
     value = np.append(weights, bias)
     first, second = np.zeros(features + 1), np.zeros(features + 1)
 
-    def softplus(z):
-        return np.logaddexp(0, z)
-
-    def sigmoid(z):
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
     for step in range(1, steps + 1):
         weights, bias = value[:-1], value[-1]
         z = bias + np.bincount(row, weights[column], minlength=len(rows))
-        total = bare * softplus(bias) + np.bincount(owner, softplus(z), minlength=len(bags))
+        total = np.bincount(owner, np.logaddexp(0, z), minlength=len(bags))
         slope = np.where(label, -1 / np.expm1(np.clip(total, 1e-12, 500)), 1.0)
-        each = sigmoid(z) * slope[owner]
-        grad = np.append(
-            np.bincount(column, each[row], minlength=features),
-            each.sum() + (slope * bare).sum() * sigmoid(bias),
-        ) / len(bags)
+        each = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
+        grad = np.append(np.bincount(column, each[row], minlength=features), each.sum()) / len(bags)
         grad[:-1] += ridge * weights / max(1, len(bags)) ** 0.5
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
@@ -138,7 +133,7 @@ def train(
     held: int | None = 0,
     sample: int = 20_000,
     most: int = 4000,
-    least: int = 8,
+    least: int = 4,
 ) -> NoisyOr:
     """Fit on about ``sample`` labelled rows, leaving out crc32(id) mod ``modulus`` == ``held``."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -161,7 +156,8 @@ def train(
 
         def flush() -> pd.DataFrame:
             names = list(counts[0].keys() | counts[1].keys())
-            frame = {"feature": names, "clean": [counts[0][n] for n in names]}
+            # plain objects: Arrow-backed strings may come in chunks, which cannot be passed on
+            frame = {"feature": pd.Series(names, dtype=object), "clean": [counts[0][n] for n in names]}
             frame["toxic"] = [counts[1][n] for n in names]
             for c in counts:
                 c.clear()
@@ -178,7 +174,7 @@ def train(
     sizes = {bool(r["_y"]): r["count"] for r in rows.groupBy("_y").count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
-        return NoisyOr({}, -8.0)
+        return NoisyOr({}, 0.0)
     seen = (
         rows.select("text", "_y")
         .mapInPandas(count_features, "feature string, clean long, toxic long")
@@ -190,7 +186,7 @@ def train(
     both = (F.col("toxic") + F.col("clean")) / F.lit(toxic + clean)
     spread = F.sqrt(both * (1 - both) * F.lit(1 / toxic + 1 / clean)) + 1e-9
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / spread
-    top = seen.withColumn("z", F.round(F.abs(z), 6)).filter("z > 4")
+    top = seen.withColumn("z", F.round(z, 6)).filter("z > 4")
     names = [r["feature"] for r in top.orderBy(F.desc("z"), "feature").limit(most).collect()]
     index = {name: i for i, name in enumerate(names)}
 
@@ -198,26 +194,21 @@ def train(
         for batch in batches:
             bags = []
             for text in batch["text"]:
-                bare, held_ = 0, []
-                for _, _, words in sentences(text):
-                    found = sorted({index[f] for w in words for f in word_features(w) if f in index})
-                    if found:
-                        held_.append(found)
-                    else:
-                        bare += 1
-                bags.append((bare, held_))
-            yield pd.DataFrame(
-                {"_y": batch["_y"].astype(int), "bare": [b[0] for b in bags], "held": [b[1] for b in bags]}
-            )
+                found = [
+                    sorted({index[f] for w in words for f in word_features(w) if f in index})
+                    for _, _, words in sentences(text)
+                ]
+                bags.append([f for f in found if f])
+            yield pd.DataFrame({"_y": batch["_y"].astype(int), "bags": bags})
 
     bags = (
         rows.orderBy("doc_id")
         .select("text", "_y")
-        .mapInPandas(bag, "_y int, bare long, held array<array<int>>")
+        .mapInPandas(bag, "_y int, bags array<array<int>>")
         .toArrow()
         .to_pylist()
     )
-    weights, bias = fit_weights([(b["_y"], b["bare"], b["held"]) for b in bags], len(names))
+    weights, bias = fit_weights([(b["_y"], b["bags"]) for b in bags], len(names))
     return NoisyOr(dict(zip(names, map(float, weights))), bias)
 
 
