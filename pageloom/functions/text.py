@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.stopwords import ENGLISH
+from pageloom.functions.stopwords import english
 
 # Letters, numbers and underscore are word characters, combining marks are not.
 # Both patterns are understood alike by Java and RE2.
@@ -30,8 +30,9 @@ def tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
     return F.filter(parts, lambda word: ~word.isin(dropped))
 
 
-def kept_words(text: Column, stopwords: Iterable[str] = ENGLISH) -> Column:
-    return tokens(text, stopwords)
+def kept_words(text: Column, stopwords: Iterable[str] | None = None) -> Column:
+    """Tokens without the stop words; English ones unless a list is given."""
+    return tokens(text, english() if stopwords is None else stopwords)
 
 
 def ngrams(words: Column, n: int) -> Column:

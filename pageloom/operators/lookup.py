@@ -17,6 +17,8 @@ Tables = dict[str, DataFrame]
 # beyond that they are joined.
 MAX_IDS = 1000
 
+LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+
 
 def _given(name: str, value):
     if value is None:
@@ -68,6 +70,11 @@ def page_by_url(tables: Tables, url: str) -> DataFrame:
     return tables["page"].filter(F.col("url") == F.lit(_given("url", url)))
 
 
+def _ids_of(tables: Tables, url: str) -> list:
+    """Ids under a URL (at most one), looked up first so that facts are filtered by a literal."""
+    return [row["id_page"] for row in page_by_url(tables, url).select("id_page").limit(2).collect()]
+
+
 def _pages_of(tables: Tables, facts: DataFrame, page: str, value: Column) -> DataFrame:
     pages = tables["page"].select(F.col("id_page").alias(page), "title", "url")
     return facts.join(pages, page).select(
@@ -96,8 +103,7 @@ def top_pages_by_gram(
 
 
 def _shared_with(tables: Tables, shared: str, url: str) -> DataFrame:
-    page = page_by_url(tables, url).select(F.col("id_page").alias("id_page1"))
-    facts = tables[shared].join(page, "id_page1")
+    facts = tables[shared].filter(F.col("id_page1").isin(_ids_of(tables, url)))
     count = F.col("shared_sets_count").alias("SHARED_SETS")
     found = _pages_of(tables, facts, "id_page2", count)
     return found.orderBy(F.desc("SHARED_SETS"), "URL")
@@ -112,7 +118,7 @@ def shared_trigrams_of_page(tables: Tables, url: str) -> DataFrame:
 
 
 def _words_of(tables: Tables, url: str) -> DataFrame:
-    words = tables["page_word"].join(page_by_url(tables, url).select("id_page"), "id_page")
+    words = tables["page_word"].filter(F.col("id_page").isin(_ids_of(tables, url)))
     if "word" in words.columns:
         return words
     return words.join(tables["word"].select("id_word", "word"), "id_word")
@@ -245,16 +251,18 @@ def available_words(tables: Tables, limit: int = 100) -> DataFrame:
 def sort_keys(rows: DataFrame, column: str, order: str = "asc") -> list[Column]:
     """Sort expressions for a result: numbers by value, or everything as text.
 
-    ``order`` is ``asc``, ``desc`` or ``alpha``. Text that reads as a number
-    sorts by that number, before other text.
+    ``order`` is ``asc``, ``desc`` or ``alpha``. Text that begins with a number
+    sorts by that number, before other text. Text compares by the rules of the
+    ``UNICODE`` collation.
     """
     if order not in ("asc", "desc", "alpha"):
         raise ValueError("order must be asc, desc or alpha")
-    text = F.col(column).cast("string")
+    text = F.collate(F.col(column).cast("string"), "UNICODE")
     if order == "alpha":
         return [text.asc_nulls_first()]
     if dict(rows.dtypes)[column] == "string":
-        number = text.try_cast("double")
+        leading = F.regexp_extract(F.col(column), LEADING_NUMBER, 1)
+        number = F.nullif(leading, F.lit("")).try_cast("double")
         if order == "desc":
             return [number.desc_nulls_first(), text.desc_nulls_last()]
         return [number.asc_nulls_last(), text.asc_nulls_first()]
@@ -268,6 +276,15 @@ def sorted_result(rows: DataFrame, column: str, order: str = "asc") -> DataFrame
     return rows.orderBy(*sort_keys(rows, column, order), *others)
 
 
+def as_json_array(rows: DataFrame) -> DataFrame:
+    """A result of one page or limit as a single JSON array, ordered by its columns.
+
+    For results that are bounded by their limit or by one page's words.
+    """
+    objects = F.array_sort(F.collect_list(F.struct(*rows.columns)))
+    return rows.agg(F.to_json(objects).alias("json"))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """The rows of a result as one JSON object each, in the given order."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import block_text, block_text_batches, heading, hrefs
-from pageloom.functions.stopwords import ENGLISH
 from pageloom.functions.text import kept_words, ngrams
 from pageloom.functions.urls import LinkRules, normalize_url
 
-NEWEST_REVISIONS = 500
 
-
-def page_text(pages: DataFrame, repeat: bool = False) -> DataFrame:
+def page_text(pages: DataFrame, repeat: bool = True) -> DataFrame:
     """Block text of each page: a per-row parse in Arrow batches, no shuffle."""
     narrow = pages.select("page_id", "html")
     return narrow.mapInPandas(block_text_batches(repeat), "page_id long, text string")
@@ -29,11 +26,15 @@ def page_title(pages: DataFrame, fallback: str | None = None) -> DataFrame:
     return pages.select("page_id", title.alias("title"))
 
 
+def link_array(html: Column, rules: LinkRules) -> Column:
+    """Distinct absolute links of a page, within its row."""
+    resolved = F.transform(hrefs(html), rules.resolve)
+    return F.array_distinct(F.filter(resolved, lambda link: link.isNotNull()))
+
+
 def page_link_arrays(pages: DataFrame, rules: LinkRules = LinkRules()) -> DataFrame:
-    """Distinct absolute links of each page as an array; stays in the page's row."""
-    resolved = F.transform(hrefs(F.col("html")), rules.resolve)
-    links = F.array_distinct(F.filter(resolved, lambda link: link.isNotNull()))
-    return pages.select("page_id", links.alias("links"))
+    """Distinct absolute links of each page as an array."""
+    return pages.select("page_id", link_array(F.col("html"), rules).alias("links"))
 
 
 def page_links(pages: DataFrame, rules: LinkRules = LinkRules()) -> DataFrame:
@@ -43,7 +44,7 @@ def page_links(pages: DataFrame, rules: LinkRules = LinkRules()) -> DataFrame:
 
 
 def with_terms(
-    pages: DataFrame, text: str = "text", stopwords: Iterable[str] = ENGLISH
+    pages: DataFrame, text: str = "text", stopwords: Iterable[str] | None = None
 ) -> DataFrame:
     """Add ``word_list``, ``bigrams`` and ``trigrams``; adjacency is that of kept words."""
     worded = pages.withColumn("word_list", kept_words(F.col(text), stopwords))
@@ -52,22 +53,21 @@ def with_terms(
     )
 
 
-def edit_rate(revisions: DataFrame, newest: int = NEWEST_REVISIONS) -> DataFrame:
-    """Revisions per day and page over the newest revisions; below two it is 0.
+def edit_rate(revisions: DataFrame, newest: int | None = None) -> DataFrame:
+    """Revisions per day and page; below two it is 0.
 
-    ``revisions`` has (page, ts). The row limit is pruned before the shuffle, so
-    a page with most of the revisions sends at most ``newest`` rows per task.
+    ``revisions`` has (page, ts). With ``newest`` only so many of the latest
+    revisions of a page count, as with a history that is served in one portion;
+    the limit is then applied per task before the shuffle.
     """
-    recent = Window.partitionBy("page").orderBy(F.col("ts").desc())
     stamped = revisions.select("page", F.col("ts").cast("timestamp").alias("ts"))
-    kept = stamped.filter("ts is not null").withColumn("rank", F.row_number().over(recent))
-    spans = (
-        kept.filter(F.col("rank") <= newest)
-        .groupBy("page")
-        .agg(
-            F.count(F.lit(1)).alias("revisions"),
-            (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("micros"),
-        )
+    kept = stamped.filter("ts is not null")
+    if newest is not None:
+        recent = Window.partitionBy("page").orderBy(F.col("ts").desc())
+        kept = kept.withColumn("rank", F.row_number().over(recent)).filter(F.col("rank") <= newest)
+    spans = kept.groupBy("page").agg(
+        F.count(F.lit(1)).alias("revisions"),
+        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("micros"),
     )
     days = F.greatest(F.col("micros") / F.lit(86_400_000_000.0), F.lit(1.0))
     rate = F.when(F.col("revisions") < 2, F.lit(0.0)).otherwise(
@@ -97,28 +97,29 @@ def page_records(
     pages: DataFrame,
     revisions: DataFrame,
     rules: LinkRules = LinkRules(),
-    stopwords: Iterable[str] = ENGLISH,
+    stopwords: Iterable[str] | None = None,
+    repeat: bool = True,
 ) -> DataFrame:
     """Page records from raw pages (page_id, url, html) and revisions (page, ts).
 
-    ``page`` of a revision is the page id. The heavy columns are carried through
-    one left join on the page id and never regrouped.
+    ``page`` of a revision is the page id. The edit rate joins the pages before
+    words and n-grams are made, so that those never pass through a shuffle.
     """
-    titled = pages.select("page_id", "url", "html", heading(F.col("html")).alias("title"))
-    resolved = F.transform(hrefs(F.col("html")), rules.resolve)
-    links = F.array_distinct(F.filter(resolved, lambda link: link.isNotNull()))
-    linked = titled.withColumn("links", links)
+    rates = edit_rate(revisions).withColumnRenamed("page", "page_id")
+    rated = pages.select("page_id", "url", "html").join(rates, "page_id", "left")
+    titled = rated.withColumn("title", heading(F.col("html")))
+    linked = titled.withColumn("links", link_array(F.col("html"), rules))
 
     def parse(batches):
         for batch in batches:
-            yield batch.drop(columns="html").assign(text=[block_text(x) for x in batch["html"]])
+            texts = [block_text(x, repeat) for x in batch["html"]]
+            yield batch.drop(columns="html").assign(text=texts)
 
-    parsed = linked.mapInPandas(
-        parse, "page_id long, url string, title string, links array<string>, text string"
+    parsed = linked.select("page_id", "url", "edits_per_day", "title", "links", "html").mapInPandas(
+        parse,
+        "page_id long, url string, edits_per_day double, title string, links array<string>, text string",
     )
-    rates = edit_rate(revisions).withColumnRenamed("page", "page_id")
-    terms = with_terms(parsed, "text", stopwords)
-    return terms.join(rates, "page_id", "left").select(
+    return with_terms(parsed, "text", stopwords).select(
         F.col("page_id").alias("id_page"),
         "url",
         "title",

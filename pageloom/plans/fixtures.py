@@ -36,7 +36,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Word totals over the whole of a table that has a ``text`` column."""
-    return freq.word_totals(with_terms(spread(read(spark, sf_dir, table).select("text"), "text")))
+    texts = read(spark, sf_dir, table)
+    keyed = texts.select(F.col(texts.columns[0]).alias("id"), "text")
+    return freq.word_totals(with_terms(spread(keyed, "id")))
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +78,6 @@ def graph_page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_with_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).join(rates(spark, sf_dir), "id_page", "left")
+    """The rate joins before words and n-grams are made, so that only texts are shuffled."""
+    rated = documents(spark, sf_dir).join(rates(spark, sf_dir), "id_page", "left")
+    return with_terms(spread(rated, "id_page"))

@@ -1,33 +1,70 @@
-"""The same results as plain SQL, one statement per registered query."""
+"""The same results as plain SQL, one statement per registered query.
+
+Nothing here comes from the code under test: patterns, rules and word lists are
+written out once more, for the other engine.
+"""
 
 from __future__ import annotations
 
-from pageloom.functions.html import ENTITIES, HEADING, HREF, NOT_CONTENT, TAG
-from pageloom.functions.stopwords import ENGLISH
-from pageloom.functions.text import GAP, PUNCTUATION
-from pageloom.plans.fixtures import RULES
+# English stop words.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
+
+# Link forms of the pages table.
+_ORIGIN = "https://wiki.example.org"
+_BASE = "https://wiki.example.org/wiki/"
+_ROOTED = "/"
+_MARKER = "example.org/wiki/"
+
+# Character references that occur in the pages table, the ampersand last.
+_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": " ", "amp": "&"}
+
+_SPACE = r"\t\n\v\f\r \x{1C}-\x{1F}\x{85}\p{Z}"
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_STOP = ", ".join(_text(word) for word in ENGLISH)
+_STOP = ", ".join(_text(word) for word in STOP_WORDS)
 
 
 def _tokens(text: str, stop: bool) -> str:
-    cleaned = f"lower(regexp_replace({text}, {_text(PUNCTUATION)}, '', 'g'))"
+    other = _text(rf"[^\p{{L}}\p{{Nd}}\p{{Nl}}\p{{No}}_{_SPACE}]+")
+    cleaned = f"lower(regexp_replace({text}, {other}, '', 'g'))"
     dropped = f"'', {_STOP}" if stop else "''"
-    split = f"regexp_split_to_array({cleaned}, {_text(GAP)})"
+    split = f"regexp_split_to_array({cleaned}, {_text(f'[{_SPACE}]+')})"
     return f"list_filter({split}, lambda x: x NOT IN ({dropped}))"
 
 
 def _unescape(text: str) -> str:
-    for entity, character in ENTITIES:
-        text = f"replace({text}, {_text(entity)}, {_text(character)})"
+    for name, character in _REFERENCES.items():
+        text = f"replace({text}, '&{name};', {_text(character)})"
     return text
 
 
+def _stripped(text: str) -> str:
+    left = f"regexp_replace({text}, {_text(f'^[{_SPACE}]+')}, '')"
+    return f"regexp_replace({left}, {_text(f'[{_SPACE}]+$')}, '')"
+
+
+# scripts and styles end at their own closing tag, comments at their own mark
+_CONTENT = (
+    "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), "
+    "'<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis')"
+)
+
 _PAIR = "list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])"
 _TRIPLE = (
     "list_transform(range(1, len(words) - 1), "
@@ -73,9 +110,7 @@ _CTES = {
           AS edits_per_day
         FROM (SELECT user_id AS id_page, count(*)::DOUBLE AS n,
                 (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE AS micros
-              FROM (SELECT user_id, ts,
-                      row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS newest
-                    FROM events) WHERE newest <= 500 GROUP BY user_id)""",
+              FROM events WHERE ts IS NOT NULL GROUP BY user_id)""",
     "links": "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "edges": "SELECT DISTINCT src, dst FROM links WHERE src <> dst",
     "verts": "SELECT p_partkey AS id_page, 'part://' || p_partkey AS url, p_name AS title FROM part",
@@ -98,21 +133,30 @@ _CTES = {
                 + coalesce(r.total_repetitions, 0) * 0.4::DOUBLE, 2) AS hub_score
         FROM conn c LEFT JOIN repeated r ON r.link = c.id_page
         LEFT JOIN rates e ON e.id_page = c.id_page""",
-    "titles": f"""SELECT page_id, url, CASE WHEN regexp_matches(html, {_text(HEADING)})
-        THEN trim({_unescape(f"regexp_replace(regexp_extract(html, {_text(HEADING)}, 1), {_text(TAG)}, '', 'g')")})
-        ELSE NULL END AS title FROM pages""",
-    "hrefs": f"""SELECT page_id, {_unescape("regexp_replace(raw, '^[\"'']|[\"'']$', '', 'g')")} AS href
-        FROM (SELECT page_id, unnest(regexp_extract_all(
-          regexp_replace(html, {_text(NOT_CONTENT)}, '', 'g'), {_text(HREF)}, 1)) AS raw FROM pages)""",
+    "clean": f"SELECT page_id, url, {_CONTENT} AS body FROM pages",
+    "titles": f"""SELECT page_id, url, CASE WHEN inner_html IS NOT NULL
+        THEN {_stripped(_unescape("regexp_replace(inner_html, '<[^>]+>', '', 'g')"))} END AS title
+        FROM (SELECT page_id, url,
+                CASE WHEN regexp_matches(body, '<h1[ >]', 'i')
+                     THEN regexp_extract(body, '<h1(?: [^>]*)?>(.*?)</h1>', 1, 'is') END AS inner_html
+              FROM clean)""",
+    "anchors": "SELECT page_id, unnest(regexp_extract_all(body, '<a [^>]*>', 0, 'is')) AS tag FROM clean",
+    "hrefs": f"""SELECT page_id, {_unescape("value")} AS href FROM (
+        SELECT page_id, CASE WHEN regexp_matches(tag, ' href *= *"', 'i')
+                             THEN regexp_extract(tag, ' href *= *"([^"]*)"', 1, 'i')
+                             WHEN regexp_matches(tag, ' href *= *''', 'i')
+                             THEN regexp_extract(tag, ' href *= *''([^'']*)''', 1, 'i')
+                             ELSE regexp_extract(tag, ' href *= *([^ >]+)', 1, 'i') END AS value
+        FROM anchors WHERE regexp_matches(tag, ' href *=', 'i'))""",
     "page_link": f"""SELECT DISTINCT page_id, link FROM (
         SELECT page_id, CASE
-          WHEN starts_with(href, {_text(RULES.rooted)}) THEN
+          WHEN starts_with(href, {_text(_ROOTED)}) THEN
             CASE WHEN NOT contains(href, ':') AND NOT contains(href, '#')
-                 THEN {_text(RULES.origin)} || href END
+                 THEN {_text(_ORIGIN)} || href END
           WHEN starts_with(href, './') THEN
             CASE WHEN NOT contains(href, ':') AND NOT contains(href, '#') AND length(href) > 2
-                 THEN {_text(RULES.base)} || substr(href, 3) END
-          WHEN contains(href, {_text(RULES.marker)})
+                 THEN {_text(_BASE)} || substr(href, 3) END
+          WHEN contains(href, {_text(_MARKER)})
                AND NOT contains(string_split(href, '/wiki/')[-1], ':')
                AND NOT contains(href, '#') THEN href END AS link
         FROM hrefs) WHERE link IS NOT NULL""",
@@ -124,7 +168,8 @@ _NEEDS = {
     "s3": ["g3"], "f2": ["s2"], "f3": ["s3"], "d2": ["f2"], "d3": ["f3"], "u2": ["g2"],
     "u3": ["g3"], "p2": ["u2"], "p3": ["u3"], "t2": ["p2"], "t3": ["p3"], "share": ["wf"],
     "edges": ["links"], "link_counts": ["links"], "conn": ["verts", "edges"], "hubs": ["conn"],
-    "repeated": ["links"], "gp": ["conn", "repeated", "rates"], "page_link": ["hrefs"],
+    "repeated": ["links"], "gp": ["conn", "repeated", "rates"], "page_link": ["hrefs"], "hrefs": ["anchors"],
+    "anchors": ["clean"], "titles": ["clean"],
 }
 
 
@@ -140,7 +185,7 @@ def _with(names: str, body: str) -> str:
 
     for name in names.split():
         add(name)
-    steps = ",\n".join(f"{name} AS ({_CTES[name]})" for name in ordered)
+    steps = ",\n".join(f"{name} AS MATERIALIZED ({_CTES[name]})" for name in ordered)
     return f"WITH {steps}\n{body}"
 
 
@@ -177,6 +222,56 @@ def _gram_relation(n: int) -> str:
     )
 
 
+def _job_tables() -> list[tuple[str, str, str]]:
+    """Each result table: what its rows hold, shares in billionths, and the rows."""
+    terms = "(SELECT row_number() OVER (ORDER BY word) AS id_word, word FROM (SELECT DISTINCT word FROM wf))"
+    billionths = "round({} * 1e9::DOUBLE)::BIGINT"
+    percentage, fraction = billionths.format("fraction * 100"), billionths.format("fraction")
+    found = [
+        (
+            "page",
+            f"""id_page, title, url, {billionths.format("edits_per_day")}, distinct_links, quant_set2,
+              quant_set3, total_repetitions, incoming, outgoing, connections, incoming + outgoing""",
+            """SELECT d.id_page, d.title, d.url, coalesce(edits_per_day, 0.0::DOUBLE) AS edits_per_day,
+                coalesce(distinct_links, 0) AS distinct_links,
+                greatest(len(words) - 1, 0) AS quant_set2, greatest(len(words) - 2, 0) AS quant_set3,
+                (SELECT count(*) FROM links l WHERE l.dst = d.id_page) AS total_repetitions,
+                (SELECT count(*) FROM edges e WHERE e.dst = d.id_page) AS incoming,
+                (SELECT count(*) FROM edges e WHERE e.src = d.id_page) AS outgoing,
+                (SELECT count(*) FROM edges e WHERE e.dst = d.id_page)
+                  + (SELECT count(*) FROM edges e WHERE e.src = d.id_page) AS connections
+              FROM docs d LEFT JOIN link_counts USING (id_page) LEFT JOIN rates USING (id_page)""",
+        ),
+        (
+            "word",
+            "id_word, word, quantity, link_quantity",
+            f"""SELECT id_word, word, quantity, coalesce(link_quantity, 0) AS link_quantity FROM {terms}
+              JOIN (SELECT word, sum(quantity)::BIGINT AS quantity FROM wf GROUP BY word) USING (word)
+              LEFT JOIN (SELECT word, count(*) AS link_quantity FROM links
+                         JOIN w ON w.id_page = links.dst GROUP BY word) USING (word)""",
+        ),
+        (
+            "word_page",
+            "id_word, id_page, quantity",
+            f"SELECT id_word, id_page, quantity FROM wf JOIN {terms} USING (word)",
+        ),
+        (
+            "page_word",
+            f"id_page, id_word, quantity, {percentage}, {fraction}",
+            f"SELECT id_page, id_word, quantity, fraction FROM share JOIN {terms} USING (word)",
+        ),
+    ]
+    for n in (2, 3):
+        keys = ", ".join(f"word{i}" for i in range(1, n + 1))
+        facts = f"SELECT id_set{n}, id_page, repetition_count FROM f{n} JOIN d{n} USING ({keys})"
+        found += [
+            (f"set{n}", f"id_set{n}, {keys}", f"SELECT * FROM d{n}"),
+            (f"set{n}_page", f"id_set{n}, id_page, repetition_count", facts),
+            (f"shared{n}", "id_page1, id_page2, shared_sets_count, rank", f"SELECT * FROM t{n}"),
+        ]
+    return found
+
+
 ORACLE: dict[str, str] = {
     "load_pages": _with(
         "docs rates",
@@ -227,7 +322,7 @@ ORACLE: dict[str, str] = {
     "page_links": _with("page_link", "SELECT * FROM page_link"),
     "page_url_build": _with(
         "titles",
-        f"""SELECT page_id, {_text(RULES.base)}
+        f"""SELECT page_id, {_text(_BASE)}
           || replace(url_encode(replace(title, ' ', '_')), '%2F', '/') AS page_url FROM titles""",
     ),
     "link_title_key": _with(
@@ -237,9 +332,11 @@ ORACLE: dict[str, str] = {
     "url_dedup": """SELECT page_id, url, normalized_url FROM (
         SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY page_id) AS rank FROM (
           SELECT page_id, url,
-            lower(url_decode(regexp_replace(trim(url), '/+$', ''))) AS normalized_url
+            lower(url_decode(rtrim(trim(url, chr(32) || chr(9) || chr(10) || chr(13)), '/')))
+              AS normalized_url
           FROM (SELECT page_id, url FROM pages
-                UNION ALL SELECT page_id + 1000000, upper(url) || '/' FROM pages)))
+                UNION ALL SELECT page_id + 1000000, upper(url) || '/' FROM pages
+                UNION ALL SELECT page_id + 2000000, chr(10) || url || chr(9) FROM pages)))
         WHERE rank = 1 AND normalized_url <> ''""",
     "page_stats": _with(
         "docs link_counts rates",
@@ -409,21 +506,25 @@ ORACLE: dict[str, str] = {
         "totals", "SELECT word FROM totals ORDER BY total_repetitions DESC, word LIMIT 100"
     ),
     "analysis_tables": _with(
-        "wf f2 f3 t2 t3",
+        "wf f2 f3 d2 d3 t2 t3 share rates link_counts links w conn",
         "\nUNION ALL ".join(
-            f"SELECT '{name}' AS table_name, (SELECT {count}) AS n_rows"
-            for name, count in {
-                "page": "count(*) FROM docs",
-                "word": "count(DISTINCT word) FROM wf",
-                "set2": "count(*) FROM (SELECT DISTINCT word1, word2 FROM f2)",
-                "set3": "count(*) FROM (SELECT DISTINCT word1, word2, word3 FROM f3)",
-                "word_page": "count(*) FROM wf",
-                "page_word": "count(*) FROM wf",
-                "set2_page": "count(*) FROM f2",
-                "set3_page": "count(*) FROM f3",
-                "shared2": "count(*) FROM t2",
-                "shared3": "count(*) FROM t3",
-            }.items()
+            f"""SELECT '{name}' AS table_name, count(*) AS n_rows,
+              sum(('0x' || substr(md5(concat_ws('|', {values})), 1, 8))::BIGINT)::BIGINT AS checksum
+            FROM ({rows})"""
+            for name, values, rows in _job_tables()
         ),
     ),
+    # a copy adds nothing: words and shares of a page are those of the page alone
+    "job_repeated_urls": _with(
+        "wf docs",
+        """SELECT url, title, sum(quantity)::BIGINT AS n_words, 100.0::DOUBLE AS percentage
+        FROM wf JOIN docs USING (id_page) GROUP BY url, title""",
+    ),
+    "raw_page_tables": _with(
+        "titles page_link rates",
+        """SELECT row_number() OVER (ORDER BY t.url) AS id_page, t.url, t.title,
+          coalesce(r.edits_per_day, 0.0::DOUBLE) AS edits_per_day,
+          (SELECT count(*) FROM page_link p WHERE p.page_id = t.page_id) AS distinct_links
+        FROM titles t LEFT JOIN rates r ON r.id_page = t.page_id WHERE t.title IS NOT NULL""",
+    ),
 }

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import heading
-from pageloom.functions.text import ngrams, tokens
+from pageloom.functions.text import exploded, ngrams, tokens
 from pageloom.functions.urls import page_url, title_key
 from pageloom.operators import frequency as freq
 from pageloom.operators import graph, lookup, prepare
 from pageloom.operators import similarity as sim
 from pageloom.operators.ids import assign_ids
 from pageloom.plans import fixtures as fx
-from pageloom.plans.job import analysis_tables
+from pageloom.plans.job import analysis_tables, run
 from pageloom.scratch import materialize, scratch_path
 from pageloom.sources import sinks
 from pageloom.sources.records import load_pages, spread
@@ -114,6 +115,12 @@ def page_text(spark, sf_dir):
     return prepare.page_text(spread(pages, "page_id"))
 
 
+@query
+def page_text_innermost(spark, sf_dir):
+    pages = fx.read(spark, sf_dir, "pages").select("page_id", "html")
+    return prepare.page_text(spread(pages, "page_id"), repeat=False)
+
+
 @query
 def page_title(spark, sf_dir):
     return prepare.page_title(fx.read(spark, sf_dir, "pages"), fallback="url")
@@ -172,7 +179,11 @@ def url_dedup(spark, sf_dir):
         (F.col("page_id") + 1_000_000).alias("page_id"),
         F.concat(F.upper("url"), F.lit("/")).alias("url"),
     )
-    return prepare.dedup_by_url(pages.unionAll(copies), "url", "page_id")
+    framed = pages.select(
+        (F.col("page_id") + 2_000_000).alias("page_id"),
+        F.concat(F.lit("\n"), "url", F.lit("\t")).alias("url"),
+    )
+    return prepare.dedup_by_url(pages.unionAll(copies).unionAll(framed), "url", "page_id")
 
 
 # Words and n-grams
@@ -374,6 +385,13 @@ def bfs_depth3(spark, sf_dir):
 # Lookups
 
 
+def _stored(spark, tables):
+    """The tables as a lookup finds them: written in their order and read back."""
+    folder = scratch_path(spark, "stored")
+    sinks.write_tables(tables, folder)
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+
+
 def _page_table(spark, sf_dir):
     return fx.documents(spark, sf_dir).select("id_page", "title", "url")
 
@@ -383,25 +401,47 @@ def _first(rows: DataFrame):
     return rows.limit(1).collect()[0]
 
 
-def _common_word(spark, sf_dir):
-    totals = {"word": freq.word_totals(fx.corpus(spark, sf_dir))}
-    return totals, _first(lookup.available_words(totals, 1))["word"]
+def _word_tables(spark, sf_dir):
+    """Stored pages, words with their totals, and their counts on pages."""
+    counts = materialize(freq.word_page_frequency(fx.corpus(spark, sf_dir)), "word_page")
+    terms = freq.dictionary(counts, ["word"], "id_word")
+    totals = counts.groupBy("word").agg(F.sum("quantity").alias("total_repetitions"))
+    facts = materialize(freq.relation(counts, terms, ["word"]), "facts")
+    return _stored(
+        spark,
+        {
+            "page": _page_table(spark, sf_dir),
+            "word": terms.drop("page_count").join(totals, "word"),
+            "word_page": facts.select("id_word", "id_page", "quantity"),
+        },
+    )
+
+
+def _common_word(tables):
+    return _first(lookup.available_words(tables, 1))["word"]
 
 
 @query
 def top_pages_by_word(spark, sf_dir):
-    pages = fx.corpus(spark, sf_dir)
-    _, word = _common_word(spark, sf_dir)
-    tables = {"page": _page_table(spark, sf_dir), "word_page": freq.word_page_frequency(pages)}
-    return lookup.top_pages_by_word(tables, word.upper())
+    tables = _word_tables(spark, sf_dir)
+    return lookup.top_pages_by_word(tables, _common_word(tables).upper())
 
 
 def _top_pages_by_gram(spark, sf_dir, n):
     keys = freq.gram_words(n)
     counts = materialize(freq.gram_page_frequency(fx.corpus(spark, sf_dir), n), "counts")
+    terms = freq.dictionary(counts, keys, f"id_set{n}")
+    facts = materialize(freq.relation(counts, terms, keys), "facts")
+    tables = _stored(
+        spark,
+        {
+            "page": _page_table(spark, sf_dir),
+            f"set{n}": terms.select(f"id_set{n}", *keys),
+            f"set{n}_page": facts.select(f"id_set{n}", "id_page", "repetition_count"),
+        },
+    )
     totals = counts.groupBy(*keys).agg(F.sum("repetition_count").alias("total"))
     words = _first(totals.orderBy(F.desc("total"), *keys))
-    tables = {"page": _page_table(spark, sf_dir), f"set{n}_page": counts}
     return lookup.top_pages_by_gram(tables, *[words[key].upper() for key in keys])
 
 
@@ -417,7 +457,7 @@ def top_pages_by_trigram(spark, sf_dir):
 
 def _shared_of_page(spark, sf_dir, n, find):
     shared = materialize(_shared_table(spark, sf_dir, n), "shared")
-    tables = {"page": _page_table(spark, sf_dir), f"shared{n}": shared}
+    tables = _stored(spark, {"page": _page_table(spark, sf_dir), f"shared{n}": shared})
     page = _first(shared.agg(F.min("id_page1").alias("id_page")))["id_page"]
     return find(tables, f"doc://{page}")
 
@@ -433,10 +473,15 @@ def shared_trigrams_of_page(spark, sf_dir):
 
 
 def _page_word_tables(spark, sf_dir):
-    pages = fx.corpus(spark, sf_dir)
-    worded = pages.filter(F.size("word_list") > 0).agg(F.min("id_page").alias("id_page"))
-    tables = {"page": _page_table(spark, sf_dir), "page_word": freq.page_word_share(pages)}
-    return tables, f"doc://{_first(worded)['id_page']}"
+    shares = materialize(freq.page_word_share(fx.corpus(spark, sf_dir)), "shares")
+    terms = freq.dictionary(shares, ["word"], "id_word")
+    facts = materialize(freq.relation(shares, terms, ["word"]).drop("word"), "facts")
+    tables = _stored(
+        spark,
+        {"page": _page_table(spark, sf_dir), "word": terms.drop("page_count"), "page_word": facts},
+    )
+    first = _first(shares.agg(F.min("id_page").alias("id_page")))
+    return tables, f"doc://{first['id_page']}"
 
 
 @query
@@ -451,7 +496,7 @@ def word_percentages_of_page(spark, sf_dir):
 
 @query
 def sorted_result(spark, sf_dir):
-    words = lookup.words_of_page(*_page_word_tables(spark, sf_dir))
+    words = materialize(lookup.words_of_page(*_page_word_tables(spark, sf_dir)), "words")
     positions = [
         assign_ids(words, [*lookup.sort_keys(words, "QUANTITY", order), "WORD"], "position")
         .withColumn("sort_order", F.lit(order))
@@ -462,15 +507,20 @@ def sorted_result(spark, sf_dir):
 
 @query
 def link_count_of_page(spark, sf_dir):
-    pages = fx.read(spark, sf_dir, "pages").withColumn("title", heading(F.col("html")))
-    linked = pages.join(prepare.page_link_arrays(pages, fx.RULES), "page_id")
-    table = linked.select("url", "title", F.size("links").cast("long").alias("distinct_links"))
+    pages = fx.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    table = pages.select(
+        F.col("page_id").alias("id_page"),
+        "url",
+        heading(F.col("html")).alias("title"),
+        F.size(prepare.link_array(F.col("html"), fx.RULES)).cast("long").alias("distinct_links"),
+    )
+    tables = _stored(spark, {"page": table})
     url = _first(pages.orderBy("page_id").select("url"))["url"]
-    return lookup.link_count_of_page({"page": table}, url)
+    return lookup.link_count_of_page(tables, url)
 
 
 def _graph_tables(spark, sf_dir):
-    return {"page": fx.graph_page_table(spark, sf_dir)}
+    return _stored(spark, {"page": fx.graph_page_table(spark, sf_dir)})
 
 
 def _first_part(spark, sf_dir):
@@ -495,8 +545,8 @@ def top_hub_pages(spark, sf_dir):
 
 @query
 def word_repetitions(spark, sf_dir):
-    totals, word = _common_word(spark, sf_dir)
-    return lookup.word_repetitions(totals, word.upper())
+    tables = _word_tables(spark, sf_dir)
+    return lookup.word_repetitions(tables, _common_word(tables).upper())
 
 
 @query
@@ -504,26 +554,22 @@ def page_repetitions(spark, sf_dir):
     return lookup.page_repetitions(_graph_tables(spark, sf_dir), _first_part(spark, sf_dir))
 
 
-def _count_tables(spark, sf_dir):
-    pages = materialize(fx.corpus(spark, sf_dir), "pages")
-    words = freq.word_page_frequency(pages)
-    return {
-        "page": pages,
-        "word": words.select("word").distinct(),
-        "word_page": words,
-        "set2": freq.gram_page_frequency(pages, 2).select("word1", "word2").distinct(),
-        "set3": freq.gram_page_frequency(pages, 3).select("word1", "word2", "word3").distinct(),
-    }
-
-
 @query
 def summary(spark, sf_dir):
-    return lookup.summary(_count_tables(spark, sf_dir))
+    pages = fx.corpus(spark, sf_dir)
+
+    def distinct(items: str) -> DataFrame:
+        return exploded(pages, [], F.col(items), "item").distinct()
+
+    tables = {name: distinct(items) for name, items in (("word", "word_list"), ("set2", "bigrams"), ("set3", "trigrams"))}
+    return lookup.summary({"page": fx.documents(spark, sf_dir).select("id_page"), **tables})
 
 
 @query
 def load_check(spark, sf_dir):
-    return lookup.load_check(_count_tables(spark, sf_dir))
+    words = materialize(freq.word_page_frequency(fx.corpus(spark, sf_dir)).select("word"), "words")
+    tables = {"word": words.distinct(), "word_page": words}
+    return lookup.load_check({"page": fx.documents(spark, sf_dir).select("id_page"), **tables})
 
 
 @query
@@ -539,20 +585,83 @@ def available_words(spark, sf_dir):
 # The whole job
 
 
-@query
-def analysis_tables_counts(spark, sf_dir):
-    tables = analysis_tables(fx.corpus_with_rates(spark, sf_dir), fx.links(spark, sf_dir))
+# What is compared of each table: keys, values and shares in billionths.
+CONTENT = {
+    "page": ["id_page", "title", "url", "edits_per_day", "distinct_links", "quant_set2", "quant_set3",
+             "total_repetitions", "incoming_links", "outgoing_links", "total_connections",
+             "connectivity_score"],
+    "word": ["id_word", "word", "total_repetitions", "link_repetitions"],
+    "set2": ["id_set2", "word1", "word2"],
+    "set3": ["id_set3", "word1", "word2", "word3"],
+    "word_page": ["id_word", "id_page", "quantity"],
+    "page_word": ["id_page", "id_word", "quantity", "percentage", "fraction"],
+    "set2_page": ["id_set2", "id_page", "repetition_count"],
+    "set3_page": ["id_set3", "id_page", "repetition_count"],
+    "shared2": ["id_page1", "id_page2", "shared_sets_count", "rank"],
+    "shared3": ["id_page1", "id_page2", "shared_sets_count", "rank"],
+}
+
+
+def checksum(name: str, table: DataFrame) -> DataFrame:
+    """Rows of a table, and the sum of a 32-bit hash of every row."""
+    parts = [
+        F.round(F.col(c) * 1e9).cast("long") if dict(table.dtypes)[c] == "double" else F.col(c)
+        for c in CONTENT[name]
+    ]
+    line = F.concat_ws("|", *[part.cast("string") for part in parts])
+    value = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("checksum")).select(
+        F.lit(name).alias("table_name"), "n_rows", "checksum"
+    )
+
+
+def _checksums(spark, folder):
+    sums = [checksum(name, spark.read.parquet(f"{folder}/{name}")) for name in CONTENT]
+    return reduce(DataFrame.unionAll, sums)
+
+
+def _analysed(spark, sf_dir):
     folder = scratch_path(spark, "tables")
+    tables = analysis_tables(fx.corpus_with_rates(spark, sf_dir), fx.links(spark, sf_dir))
     sinks.write_tables(tables, folder)
-    sizes = [
-        spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(F.lit(name).alias("table_name"), "n_rows")
-        for name in tables
-    ]
-    counted = sizes[0]
-    for size in sizes[1:]:
-        counted = counted.unionAll(size)
-    return counted
+    return folder
+
+
+QUERIES["analysis_tables"] = lambda spark, sf_dir: _checksums(spark, _analysed(spark, sf_dir))
+
+
+@query
+def job_repeated_urls(spark, sf_dir):
+    """The job over records of which every third comes again under other spellings of its URL."""
+    source, folder = scratch_path(spark, "jsonl"), scratch_path(spark, "tables")
+    records = fx.corpus(spark, sf_dir).select(
+        "id_page", "url", "title", "word_list", "bigrams", "trigrams",
+        F.lit(0.0).alias("edits_per_day"), F.array().cast("array<string>").alias("links"),
+    )
+    again = records.filter("id_page % 3 = 0")
+    spelled = F.array(F.concat(F.upper("url"), F.lit("/")), F.concat(F.lit(" "), "url", F.lit("\t")), F.lit(None))
+    copies = again.withColumn("url", F.explode(spelled)).withColumn("title", F.lit("copy"))
+    both = records.withColumn("later", F.lit(0)).unionByName(copies.withColumn("later", F.lit(1)))
+    # one file, so that the copies stand after what they copy
+    ordered = both.repartitionByRange(1, "later").sortWithinPartitions("later", "id_page", "url")
+    sinks.write_jsonl(ordered.drop("later", "id_page"), source)
+    run(spark, source, folder)
+    page = spark.read.parquet(f"{folder}/page").select("id_page", "url", "title")
+    shares = spark.read.parquet(f"{folder}/page_word").join(page, "id_page")
+    sums = shares.groupBy("url", "title").agg(
+        F.sum("quantity").alias("n_words"), F.round(F.sum("percentage"), 6).alias("percentage")
+    )
+    return sums
 
 
-QUERIES["analysis_tables"] = QUERIES.pop("analysis_tables_counts")
+@query
+def raw_page_tables(spark, sf_dir):
+    """Raw pages and revisions to stored tables: links, titles, rates, words of each page."""
+    source, folder = scratch_path(spark, "jsonl"), scratch_path(spark, "tables")
+    events = fx.read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), "ts")
+    records = prepare.page_records(fx.read(spark, sf_dir, "pages"), events, fx.RULES)
+    sinks.write_jsonl(records.drop("id_page"), source)
+    run(spark, source, folder)
+    return spark.read.parquet(f"{folder}/page").select(
+        "id_page", "url", "title", "edits_per_day", "distinct_links"
+    )

@@ -9,10 +9,13 @@ depend on the physical partitioning (surrogate ids).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _chosen: str | None = None
+_scopes: list[str] = []
 
 
 def use_folder(folder: str) -> None:
@@ -34,7 +37,7 @@ def scratch_root(spark: SparkSession) -> str:
     base = _base(spark)
     if base is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/pageloom-{spark.sparkContext.applicationId}"
+    return "/".join([f"{base.rstrip('/')}/pageloom-{spark.sparkContext.applicationId}", *_scopes])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,8 +52,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written within go to a folder that is deleted at the end."""
+    _scopes.append(f"own-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
+        _scopes.pop()
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application.
+    """Delete the intermediate tables of this application (of the innermost ``own_scratch``).
 
     Results that have not been read yet depend on them.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.schema import PAGE_RECORD, TABLES
@@ -20,13 +21,23 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(3 * cores, key)
 
 
-def load_pages(spark: SparkSession, path: str) -> DataFrame:
+def load_pages(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
     """Page records from JSON lines, without those that have no title.
 
+    With ``position`` they carry where they stand: file, block of the file and
+    place within it, which order as the lines do.
+
     The schema is fixed, so nothing is inferred and unused fields are not parsed.
     A malformed line has no title either.
     """
     records = spark.read.schema(PAGE_RECORD).option("mode", "PERMISSIVE").json(path)
+    if position:
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"),
+        )
+        records = records.withColumn("position", place)
     return records.filter("title is not null")
 
 

@@ -76,8 +76,14 @@ def insert_if_absent(
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """``existing`` with rows of the same key replaced by the incoming ones.
 
-    ``incoming`` has one row per key.
+    Of incoming rows with one key the last by the other columns counts.
     """
+    others = [c for c in incoming.columns if c not in keys]
+    if others:
+        incoming = incoming.withColumn("_all", F.struct(*others))
+        incoming = latest_per_key(incoming, keys, "_all").drop("_all")
+    else:
+        incoming = incoming.dropDuplicates(keys)
     kept = existing.join(incoming.select(*keys), keys, "left_anti")
     return kept.select(*existing.columns).unionByName(incoming.select(*existing.columns))
 

@@ -30,11 +30,29 @@ def test_skewed_join_equals_plain_join(spark):
     dim = spark.createDataFrame([(k, f"v{k}", keys.count(k)) for k in (1, 2, 3, 5)], "k long, v string, w long")
     plain = rows(fact.join(dim.drop("w"), "k"))
     assert rows(join_on_skewed_key(fact, dim, ["k"], "w")) == plain
-    skewed = join_on_skewed_key(fact, dim, ["k"], "w", hot_share=4, min_hot_rows=5)
+    # 95 rows over 8 partitions: keys of more than 11 rows are hot
+    skewed = join_on_skewed_key(fact, dim, ["k"], "w", min_hot_rows=5)
     assert rows(skewed.select("k", "n", "v")) == plain
     assert "Union" in skewed._jdf.queryExecution().toString()
 
 
+def test_hot_means_more_than_a_tasks_share(spark):
+    """One key with 30 % of the rows and one with 0.04 %, which counts once there are more partitions."""
+    keys = [1] * 3000 + [2] * 40 + list(range(10, 7000))
+    fact = spark.createDataFrame([(key, n) for n, key in enumerate(keys)], "k long, n long")
+    dim = fact.groupBy("k").agg(F.count("*").alias("w")).withColumn("v", F.col("k") * 2)
+    plain = rows(fact.join(dim.drop("w"), "k").select("k", "n", "v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, most in ((8, 10), (4000, 10_000), (4000, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            joined = join_on_skewed_key(fact, dim, ["k"], "w", min_hot_rows=5, most_broadcast=most)
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            assert rows(joined.select("k", "n", "v")) == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def pages(spark, *items):
     return spark.createDataFrame(
         list(items),
@@ -156,6 +174,8 @@ def test_pair_budget_bounds_the_lists(spark, monkeypatch):
     postings = spark.range(4106)
     assert sim._bound(classes, postings) == 8
     monkeypatch.setattr(sim, "PAIRS_PER_POSTING", 10_000)
+    assert sim._bound(classes, postings) == 8
+    monkeypatch.setattr(sim, "LONGEST", 4096)
     assert sim._bound(classes, postings) == 4096
 
 
@@ -235,7 +255,11 @@ def test_edit_rate(spark):
     data += [(3, base + timedelta(days=i)) for i in range(11)]
     data += [(4, base + timedelta(days=i)) for i in range(600)]
     found = dict(prepare.edit_rate(spark.createDataFrame(data, "page long, ts timestamp")).collect())
-    assert found == {1: 0.0, 2: 2.0, 3: 1.1, 4: round(500 / 499, 2)}
+    assert found == {1: 0.0, 2: 2.0, 3: 1.1, 4: round(600 / 599, 2)}
+    burst = [(5, base), *((5, base + timedelta(days=100, minutes=i)) for i in range(600))]
+    df = spark.createDataFrame(burst, "page long, ts timestamp")
+    assert rows(prepare.edit_rate(df)) == [(5, 5.99)]
+    assert rows(prepare.edit_rate(df, newest=500)) == [(5, 500.0)]
 
 
 def test_url_dedup_keeps_the_first(spark):

@@ -3,7 +3,8 @@ import re
 from pyspark.sql import functions as F
 
 from pageloom.functions import html, urls
-from pageloom.functions.stopwords import ENGLISH
+from pageloom.functions.stopwords import english
+from pageloom.plans.oracle import STOP_WORDS
 from pageloom.functions.text import exploded, kept_words, ngrams, tokens
 from pageloom.plans import fixtures as fx
 
@@ -37,7 +38,7 @@ def test_stop_words_keep_order_and_duplicates(spark):
     # the apostrophe is gone before the comparison, so "don't" stays as "dont"
     assert words == ["cat", "cat", "dont", "sit"]
     assert one(spark, kept_words(F.col("t"), ["el"]), t="El gato the") == ["gato", "the"]
-    assert len(ENGLISH) == len(set(ENGLISH)) == 181
+    assert sorted(english()) == sorted(STOP_WORDS) and len(STOP_WORDS) == 181
 
 
 def test_ngrams(spark):
@@ -75,7 +76,8 @@ def test_normalize_url(spark):
 
     assert normal(" http://X/A%20b// ") == "http://x/a b"
     assert normal("http://x/caf%C3%A9") == normal("http://x/café/")
-    assert normal("") == ""
+    assert normal("") == normal(" \t/ ") == ""
+    assert normal("http://a/b\t") == normal("\nhttp://a/B/ \r\n") == "http://a/b"
 
 
 def test_title_key(spark):
@@ -84,6 +86,8 @@ def test_title_key(spark):
 
 def test_link_rules(spark):
     rules = urls.LinkRules()
+    long = "./" + "x" * 2_100_000
+    assert len(one(spark, rules.resolve(F.col("t")), t=long)) == len(rules.base) + 2_100_000
     cases = {
         "/wiki/Casa": "https://es.wikipedia.org/wiki/Casa",
         "/wiki/Archivo:Foto": None,
@@ -107,11 +111,12 @@ PAGE = """<html><head><title>T</title><script>var t="</p><a href='/no'>";</scrip
 
 
 def test_block_text():
-    assert html.block_text(PAGE) == "A & B one two three skip x y z four five"
+    assert html.block_text(PAGE, repeat=False) == "A & B one two three skip x y z four five"
     assert "hidden" not in html.block_text(PAGE) and "var t" not in html.block_text(PAGE)
     nested = "<p>a<p>b</p></p><p>c</p>"
-    assert html.block_text(nested) == "a b c"
-    assert html.block_text(nested, repeat=True) == "a b b c"
+    assert html.block_text(nested, repeat=False) == "a b c"
+    assert html.block_text(nested) == "a b b c"
+    assert html.block_text("<p>a<p>b</p>") == "a b b"
     assert html.block_text(None) == ""
     assert html.block_text("<div>x</div><h5>y</h5>") == "y"
 
@@ -119,4 +124,14 @@ def test_block_text():
 def test_heading_and_hrefs(spark):
     assert one(spark, html.heading(F.col("h")), h=PAGE) == "A & B"
     assert one(spark, html.heading(F.col("h")), h="<p>x</p>") is None
+    known = {
+        "<h1>\n  Casa\t\n</h1>": "Casa",
+        "<!-- <h1>old</h1> --><h1>New</h1>": "New",
+        "<script>var t = '<h1>x</h1>';</script><h1 class='a'>Y</h1>": "Y",
+        "<h1>Espa&ntilde;a &#225; &amp;lt; &#x41;</h1>": "España á &lt; A",
+        "<h1> \u00a0</h1>": "",
+    }
+    for page, title in known.items():
+        assert one(spark, html.heading(F.col("h")), h=page) == title
+    assert one(spark, html.hrefs(F.col("h")), h='<a href="/wiki/Espa&ntilde;a">x</a>') == ["/wiki/España"]
     assert one(spark, html.hrefs(F.col("h")), h=PAGE) == ["/wiki/X", "./Y?a=1&b=2"]
