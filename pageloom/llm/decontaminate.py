@@ -37,7 +37,7 @@ Q = 8
 RATE = 0.1
 BLOCK = 4_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
+_BITS = 20
 _STRETCH = 1 << 16  # of a text that is looked at in one go
 
 
@@ -51,13 +51,51 @@ def normalised(text: str) -> np.ndarray:
 def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     if len(codes) < q:
         return np.empty(0, dtype=np.uint64)
-    wide = codes.astype(np.uint64)
-    h = np.zeros(len(codes) - q + 1, dtype=np.uint64)
-    for i in range(q):
-        h = h * _PRIME + wide[i : len(wide) - q + 1 + i] + np.uint64(1)
+    # a gram's hash from those of its parts, which double in length
+    part, length = codes.astype(np.uint64) + np.uint64(1), 1
+    h, done, n = np.zeros(len(codes) - q + 1, dtype=np.uint64), 0, len(codes) - q + 1
+    while True:
+        if q & length:
+            h = h * np.uint64(pow(int(_PRIME), length, 1 << 64)) + part[done : done + n]
+            done += length
+        if done == q:
+            break
+        factor = np.uint64(pow(int(_PRIME), length, 1 << 64))
+        part = part[:-length] * factor + part[length:]
+        length *= 2
     return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def least_edits(item: np.ndarray, text: np.ndarray) -> int:
+    """Least edits of ``item`` against any substring of ``text``.
+
+    One column of the alignment at a time, its steps of +1 and -1 held as the
+    bits of two whole numbers (Myers 1999).
+    """
+    m = len(item)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    rows: dict[int, int] = {}
+    for i, letter in enumerate(item.tolist()):
+        rows[letter] = rows.get(letter, 0) | 1 << i
+    up, down, score = full, 0, m
+    best = score
+    for letter in text.tolist():
+        match = rows.get(letter, 0)
+        zero = (((match & up) + up) ^ up) | match | down
+        right_up = down | ~(zero | up) & full
+        right_down = up & zero
+        if right_up & top:
+            score += 1
+        elif right_down & top:
+            score -= 1
+            best = min(best, score)
+        right_up = right_up << 1 & full
+        right_down = right_down << 1 & full
+        up = right_down | ~(zero | right_up) & full
+        down = right_up & zero
+    return best
+
+
 def aligned(item: np.ndarray, text: np.ndarray, first: int, last: int, k: int):
     """Start, end and edits of the best match of all of ``item`` in ``text``.
 
@@ -72,6 +110,8 @@ def aligned(item: np.ndarray, text: np.ndarray, first: int, last: int, k: int):
     if at >= 0:
         begin = max(0, first) + at // item.itemsize
         return begin, begin + len(item), 0
+    if least_edits(item, text[max(0, first - k) : last + len(item) + k]) > k:
+        return None
     low, high = first - k, last + k
     width = high - low + 1
     far = k + 1
@@ -174,17 +214,16 @@ class Block:
         keys, where = keys[order], where[order]
         head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(head, len(keys)))
-        for begin, n in zip(head, sizes):
-            which = int(keys[begin] // size)
-            if keys[begin] % size == size - 1:
-                which += 1  # band -1 of the next item
-            if n < self.bound[which]:
-                continue
+        owners = (keys[head] + 1) // size  # band -1 of an item lies just before its others
+        enough = sizes >= self.bound[owners]
+        inside = np.concatenate([self.place[entry], self.place[entry]])[order]
+        for begin, n, which in zip(head[enough], sizes[enough], owners[enough].tolist()):
             k = int(self.budget[which])
             distinct = np.unique(where[begin : begin + n])
             # within the length of an occurrence
             span = int(self.lengths[which]) + k
-            if len(distinct) < self.bound[which]:
+            # as many places of the item take part
+            if min(len(distinct), len(np.unique(inside[begin : begin + n]))) < self.bound[which]:
                 continue
             far = np.searchsorted(distinct, distinct + span) - np.arange(len(distinct))
             if far.max() < self.bound[which]:
