@@ -88,35 +88,37 @@ class NoisyOr:
 
 
 def fit_weights(
-    bags: list[tuple[int, list[list[int]]]],
+    label: np.ndarray,
+    owner: np.ndarray,
+    row: np.ndarray,
+    column: np.ndarray,
     features: int,
     steps: int = 400,
     rate: float = 0.1,
     ridge: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias from bags (label, features of each sentence that has some).
+    """Weights and bias from labelled bags of sentences that have features.
+
+    ``owner`` names the bag of each sentence, ``row`` and ``column`` the sentence
+    and the feature of each feature that is present.
 
     The loss of a clean document is A = sum of softplus(z) over its sentences,
     that of a toxic one -log(1 - exp(-A)); its slope in z is sigmoid(z) times 1
     or -1 / (exp(A) - 1).
     """
-    label = np.array([b[0] for b in bags], dtype=bool)
-    owner = np.array([i for i, b in enumerate(bags) for _ in b[1]], dtype=np.int64)
-    rows = [s for b in bags for s in b[1]]
-    row = np.repeat(np.arange(len(rows)), [len(s) for s in rows])
-    column = np.array([f for s in rows for f in s], dtype=np.int64)
+    label, bags, rows = label.astype(bool), len(label), len(owner)
     weights, bias = np.zeros(features), -4.0
     value = np.append(weights, bias)
     first, second = np.zeros(features + 1), np.zeros(features + 1)
 
     for step in range(1, steps + 1):
         weights, bias = value[:-1], value[-1]
-        z = bias + np.bincount(row, weights[column], minlength=len(rows))
-        total = np.bincount(owner, np.logaddexp(0, z), minlength=len(bags))
+        z = bias + np.bincount(row, weights[column], minlength=rows)
+        total = np.bincount(owner, np.logaddexp(0, z), minlength=bags)
         slope = np.where(label, -1 / np.expm1(np.clip(total, 1e-12, 500)), 1.0)
         each = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.append(np.bincount(column, each[row], minlength=features), each.sum()) / len(bags)
-        grad[:-1] += ridge * weights / max(1, len(bags)) ** 0.5
+        grad = np.append(np.bincount(column, each[row], minlength=features), each.sum()) / bags
+        grad[:-1] += ridge * weights / max(1, bags) ** 0.5
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         value = value - rate * (first / (1 - 0.9**step)) / (
@@ -206,9 +208,15 @@ def train(
         .select("text", "_y")
         .mapInPandas(bag, "_y int, bags array<array<int>>")
         .toArrow()
-        .to_pylist()
+        .combine_chunks()
     )
-    weights, bias = fit_weights([(b["_y"], b["bags"]) for b in bags], len(names))
+    # flat arrays: of each bag its sentences, of each sentence its features
+    nested = bags["bags"].combine_chunks()
+    of_bag, of_sentence = nested.value_lengths().to_numpy(), nested.flatten().value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(of_bag), dtype=np.int32), of_bag)
+    row = np.repeat(np.arange(len(of_sentence), dtype=np.int32), of_sentence)
+    column = nested.flatten().flatten().to_numpy()
+    weights, bias = fit_weights(bags["_y"].to_numpy(), owner, row, column, len(names))
     return NoisyOr(dict(zip(names, map(float, weights))), bias)
 
 
