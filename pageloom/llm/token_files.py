@@ -21,12 +21,12 @@ written repeatedly. An empty table gives a code without ids and no blocks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,48 +35,89 @@ from pageloom.llm.huffman import LIMIT, Code, code_lengths
 from pageloom.llm.token_counts import load
 from pageloom.scratch import materialize, scratch_path
 
-BLOCK_IDS = 1 << 20
-_CACHE = 400_000  # units whose ids a process remembers
+BLOCK_IDS = 1 << 18
+_CACHE = 600_000  # words whose ids a process remembers
 _CACHED_LENGTH = 64
 _ROW_BITS = 33
 
-# A byte-level tokenizer splits before a blank that leads a word, and white
-# space before that stays together but for its last character. Units end where
-# it always splits, so encoding them one by one gives the same ids.
-_UNIT = regex.compile(r"\s+(?!\S)| ?\S+|\s")
-_remembered: dict[tuple[str, str], dict[str, bytes]] = {}
-
-
-def encode_texts(texts: list[str], path: str, end: int) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian 32-bit numbers."""
-    tokenizer = load(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known = _remembered.setdefault((path, "ids"), {})
-    if len(known) > _CACHE:
-        known.clear()
-    units: list[list[str] | None] = []
-    missing: dict[str, None] = {}
-    for text in texts:
-        if any(s in text for s in special):
-            units.append(None)  # special strings are found before units are
-            continue
-        found = _UNIT.findall(text)
-        units.append(found)
-        missing.update(dict.fromkeys(u for u in found if u not in known))
-    new = list(missing)
-    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-    fresh = {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(new, encoded)}
-    known.update({u: b for u, b in fresh.items() if len(u) <= _CACHED_LENGTH})
-    look = {**fresh, **known} if len(fresh) > len(known) else known
-    tail = np.array([end], dtype="<u4").tobytes()
-    out = []
-    for text, found in zip(texts, units):
-        if found is None:
-            ids = tokenizer.encode(text, add_special_tokens=False).ids
-            out.append(np.array([*ids, end], dtype="<u4").tobytes())
-        else:
-            out.append(b"".join([look[u] if u in look else fresh[u] for u in found]) + tail)
-    return out
+# The white space of the tokenizer's pattern.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# A byte-level tokenizer splits before a blank that leads a word, and a run of
+# white space stays together but for its last character. Units end where it
+# always splits, so encoding them one by one gives the same ids.
+_UNIT = re.compile(f"[{_WHITE}]+(?![^{_WHITE}])| ?[^{_WHITE}]+|[{_WHITE}]")
+# Texts without a match are words between single blanks and line breaks.
+_UNEVEN = re.compile(f"[{_WHITE}](?:[{_WHITE}]|\\Z)|\\A[{_WHITE}]|[\t\x0b-\r\x85-\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class _Ids(dict):
+    """Ids of units (after ``lead``) as bytes; a unit that is not known comes back as text."""
+
+    def __init__(self, wanted: dict, lead: str = ""):
+        super().__init__()
+        self._wanted, self._lead = wanted, lead
+
+    def __missing__(self, unit: str) -> str:
+        text = self._lead + unit
+        self._wanted[text] = self, unit
+        return text
+
+
+class Encoder:
+    """Encodes texts of a byte-level tokenizer file from remembered units.
+
+    Units that are not known are collected over a batch of texts and encoded
+    together.
+    """
+
+    def __init__(self, path: str):
+        self._tokenizer = load(path)
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._wanted: dict[str, tuple[_Ids, str]] = {}
+        self._units, self._after_blank = _Ids(self._wanted), _Ids(self._wanted, " ")
+
+    def _parts(self, text: str) -> list[bytes | str]:
+        if any(s in text for s in self._special):
+            # special strings are found before units are
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return [np.array(ids, dtype="<u4").tobytes()]
+        units, after = self._units.__getitem__, self._after_blank.__getitem__
+        if not text or _UNEVEN.search(text):
+            return list(map(units, _UNIT.findall(text)))
+        parts: list[bytes | str] = []
+        for line in text.split("\n"):
+            words = iter(line.split(" "))
+            parts.append(units(next(words)))
+            parts.extend(map(after, words))
+            parts.append(units("\n"))
+        parts.pop()
+        return parts
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        texts = [self._parts(text) for text in texts]
+        wanted = list(self._wanted.items())
+        self._wanted.clear()
+        encoded = self._tokenizer.encode_batch_fast([t for t, _ in wanted], add_special_tokens=False)
+        fresh = {}
+        for (text, (known, unit)), e in zip(wanted, encoded):
+            fresh[text] = ids = np.array(e.ids, dtype="<u4").tobytes()
+            if len(known) < _CACHE and len(unit) <= _CACHED_LENGTH:
+                known[unit] = ids
+        for parts in texts:
+            for i in [i for i, part in enumerate(parts) if type(part) is str]:
+                parts[i] = fresh[parts[i]]
+        return [b"".join(parts) for parts in texts]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process keeps one, so tasks go on with what earlier ones learned."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _pack(ids: bytes) -> bytes:
@@ -94,17 +135,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
     """Encode all texts and write the two tables of the format under ``folder``."""
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, tail = encoder(tokenizer).encode, np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
-                ids = encode_texts(part["text"].tolist(), tokenizer, end)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [_pack(i) for i in ids]})
+                ids = [_pack(i + tail) for i in encode(part["text"].tolist())]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": ids})
 
     encoded = materialize(
         narrow(docs, "doc_id", "text").mapInPandas(tokenise, "doc_id long, ids binary"), "ids"
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _encoders.clear()  # what this process remembered is not needed any more
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             for packed in batch["ids"]:
@@ -131,6 +174,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
     shared = spark.sparkContext.broadcast(lengths)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _encoders.clear()
         code = Code(shared.value)
         held: list[np.ndarray] = []
         owners: list[dict] = []

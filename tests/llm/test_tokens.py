@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from pageloom.llm.huffman import Code, code_lengths
 from pageloom.llm.token_counts import token_counts
-from pageloom.llm.token_files import encode_texts, join_crc, read_ids, round_trip, write_ids
+from pageloom.llm.token_files import encoder, join_crc, read_ids, round_trip, write_ids
 from pageloom.llm import token_files
 from tests.llm.conftest import odd_rows
 
@@ -45,8 +45,10 @@ PARTS = st.sampled_from(
 @given(st.lists(PARTS, max_size=12).map("".join))
 def test_units_encode_alike(text):
     tokenizer = Tokenizer.from_file(BYTES)
-    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
-    assert encode_texts([text], BYTES, 0) == [np.array(ids, dtype="<u4").tobytes()]
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder(BYTES).encode([text, "a", text]) == [
+        np.array(x, dtype="<u4").tobytes() for x in (ids, tokenizer.encode("a").ids, ids)
+    ]
 
 
 @settings(max_examples=200, deadline=None)
