@@ -56,34 +56,43 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield found.start(), found.end(), words
 
 
+class _Found(dict):
+    """Features of a word that have a weight; the first _CACHE words are remembered."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self._names = frozenset(weights)
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        found = tuple(self._names.intersection(word_features(word)))
+        if len(self) < _CACHE and len(word) <= LONGEST_WORD:
+            self[word] = found
+        return found
+
+
 class NoisyOr:
     """Weights of features and the bias; bounded by the number of features."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._words: dict[str, tuple[str, ...]] = {}
-
-    def _word(self, word: str) -> tuple[str, ...]:
-        """Features of a word that have a weight."""
-        found = self._words.get(word)
-        if found is None:
-            if len(self._words) >= _CACHE:
-                self._words.clear()
-            found = tuple(f for f in word_features(word) if f in self.weights)
-            self._words[word] = found
-        return found
+        self._found = _Found(weights)
+
+    def __reduce__(self):
+        return NoisyOr, (self.weights, self.bias)
 
     def score(self, text: str, locate: float) -> tuple[float, list[tuple[int, int]]]:
         """Probability of the text and the spans of sentences of at least ``locate``."""
         clean, spans = 0.0, []
-        for start, end, words in sentences(text):
-            found = {f for w in words for f in self._word(w)}
+        features = self._found.__getitem__
+        for sentence in _SENTENCE.finditer(text):
+            words = _WORD.findall(sentence[0].lower())
+            found = set().union(*filter(None, map(features, words)))
             if not found:
                 continue
-            z = self.bias + sum(self.weights[f] for f in sorted(found))
+            z = self.bias + sum([self.weights[f] for f in sorted(found)])
             clean += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
             if 1 / (1 + math.exp(-max(-500.0, z))) >= locate:
-                spans.append((start, end))
+                spans.append(sentence.span())
         return -math.expm1(-clean), spans
 
 
