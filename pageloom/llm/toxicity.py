@@ -37,6 +37,7 @@ from pageloom.scratch import materialize
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000  # words whose weight a task remembers
+_SLICE = 20_000  # sentences that a step of the fit looks at together
 LONGEST_WORD = 40  # longer words have no gram features
 
 
@@ -99,7 +100,7 @@ class NoisyOr:
 def fit_weights(
     label: np.ndarray,
     owner: np.ndarray,
-    row: np.ndarray,
+    size: np.ndarray,
     column: np.ndarray,
     features: int,
     steps: int = 400,
@@ -108,25 +109,34 @@ def fit_weights(
 ) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled bags of sentences that have features.
 
-    ``owner`` names the bag of each sentence, ``row`` and ``column`` the sentence
-    and the feature of each feature that is present.
+    ``owner`` names the bag of each sentence and ``size`` how many of ``column``,
+    the features in order of sentences, are its own. Sentences are gone through
+    in slices, so what is held besides the features stays small.
 
     The loss of a clean document is A = sum of softplus(z) over its sentences,
     that of a toxic one -log(1 - exp(-A)); its slope in z is sigmoid(z) times 1
     or -1 / (exp(A) - 1).
     """
-    label, bags, rows = label.astype(bool), len(label), len(owner)
-    weights, bias = np.zeros(features), -4.0
-    value = np.append(weights, bias)
+    label, bags = label.astype(bool), len(label)
+    place = np.append(0, np.cumsum(size, dtype=np.int64))
+    slices = [slice(i, min(i + _SLICE, len(owner))) for i in range(0, len(owner), _SLICE)]
+    value = np.append(np.zeros(features), -4.0)
     first, second = np.zeros(features + 1), np.zeros(features + 1)
-
+    z = np.zeros(len(owner))
     for step in range(1, steps + 1):
         weights, bias = value[:-1], value[-1]
-        z = bias + np.bincount(row, weights[column], minlength=rows)
+        for part in slices:
+            at = place[part]
+            own = column[at[0] : place[part.stop]]
+            z[part] = bias + np.add.reduceat(weights[own], at - at[0])
         total = np.bincount(owner, np.logaddexp(0, z), minlength=bags)
         slope = np.where(label, -1 / np.expm1(np.clip(total, 1e-12, 500)), 1.0)
         each = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.append(np.bincount(column, each[row], minlength=features), each.sum()) / bags
+        grad = np.append(np.zeros(features), each.sum())
+        for part in slices:
+            own = column[place[part.start] : place[part.stop]]
+            grad[:-1] += np.bincount(own, np.repeat(each[part], size[part]), minlength=features)
+        grad /= bags
         grad[:-1] += ridge * weights / max(1, bags) ** 0.5
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
@@ -143,7 +153,7 @@ def train(
     modulus: int = 5,
     held: int | None = 0,
     sample: int = 20_000,
-    most: int = 4000,
+    most: int = 4000,  # below 2 ** 16
     least: int = 4,
 ) -> NoisyOr:
     """Fit on about ``sample`` labelled rows, leaving out crc32(id) mod ``modulus`` == ``held``."""
@@ -203,29 +213,30 @@ def train(
 
     def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bags = []
+            sizes, columns = [], []
             for text in batch["text"]:
                 found = [
                     sorted({index[f] for w in words for f in word_features(w) if f in index})
                     for _, _, words in sentences(text)
                 ]
-                bags.append([f for f in found if f])
-            yield pd.DataFrame({"_y": batch["_y"].astype(int), "bags": bags})
-
-    bags = (
-        rows.orderBy("doc_id")
-        .select("text", "_y")
-        .mapInPandas(bag, "_y int, bags array<array<int>>")
-        .toArrow()
-        .combine_chunks()
-    )
-    # flat arrays: of each bag its sentences, of each sentence its features
-    nested = bags["bags"].combine_chunks()
-    of_bag, of_sentence = nested.value_lengths().to_numpy(), nested.flatten().value_lengths().to_numpy()
-    owner = np.repeat(np.arange(len(of_bag), dtype=np.int32), of_bag)
-    row = np.repeat(np.arange(len(of_sentence), dtype=np.int32), of_sentence)
-    column = nested.flatten().flatten().to_numpy()
-    weights, bias = fit_weights(bags["_y"].to_numpy(), owner, row, column, len(names))
+                held_ = [f for f in found if f]
+                sizes.append(np.array([len(f) for f in held_], dtype=np.uint16).tobytes())
+                columns.append(np.array([i for f in held_ for i in f], dtype=np.uint16).tobytes())
+            yield pd.DataFrame({"_y": batch["_y"].astype(int), "sizes": sizes, "columns": columns})
+
+    # two bytes for each sentence and for each feature that is present
+    bags = rows.orderBy("doc_id").select("text", "_y").mapInPandas(
+        bag, "_y int, sizes binary, columns binary"
+    ).toArrow()
+
+    def joined(name: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b.as_py(), dtype=np.uint16) for b in bags[name]])
+
+    count_of = np.array([len(b.as_py()) // 2 for b in bags["sizes"]])
+    owner = np.repeat(np.arange(len(count_of), dtype=np.int32), count_of)
+    label_, size, column = bags["_y"].to_numpy(), joined("sizes"), joined("columns")
+    del bags
+    weights, bias = fit_weights(label_, owner, size, column, len(names))
     return NoisyOr(dict(zip(names, map(float, weights))), bias)
 
 

@@ -33,9 +33,9 @@ def test_slope_of_the_loss():
     label = np.array([y for y, _ in bags])
     owner = np.array([i for i, (_, held) in enumerate(bags) for _ in held])
     lists = [s for _, held in bags for s in held]
-    row = np.array([i for i, s in enumerate(lists) for _ in s])
+    size = np.array([len(s) for s in lists], dtype=np.uint16)
     column = np.array([f for s in lists for f in s])
-    weights, bias = fit_weights(label, owner, row, column, 3, steps=3000, rate=0.02, ridge=0.05)
+    weights, bias = fit_weights(label, owner, size, column, 3, steps=3000, rate=0.02, ridge=0.05)
 
     def loss(w, b):
         total = 0.0
