@@ -19,6 +19,7 @@ table gives no rows; without training rows the first weights stay.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,22 +190,45 @@ class Lattice:
                 codes = np.frombuffer(text, dtype=np.uint32).reshape(len(part), length + 1)
                 yield part, codes.astype(np.uint64)
 
-    def _walk(self, word: str) -> float:
-        """Forward recursion of one long word."""
+    def _steps(self, text: str, end: int):
+        """Edges (start, piece ids, log weight) of the lattice that end at a place of a word."""
+        for width in range(1, min(end, self.longest) + 1):
+            piece = self.ids.get(text[end - width : end])
+            if piece is not None:
+                yield end - width, [piece], float(self.logp[piece])
+            elif width == 1:
+                bytes_ = self.byte[list(text[end - 1].encode())]
+                yield end - 1, bytes_, float(self.logp[bytes_].sum())
+
+    def _walk(self, word: str, weight: float = 1.0, expected: np.ndarray | None = None) -> float:
+        """Forward recursion of one long word; adds its weighted uses of pieces to ``expected``.
+
+        The backward pass keeps the last ``longest`` places alone.
+        """
         text = START + word
-        forward = [0.0]
+        forward = array("d", [0.0])
         for end in range(1, len(text) + 1):
-            terms = []
-            for width in range(1, min(end, self.longest) + 1):
-                piece = self.ids.get(text[end - width : end])
-                if piece is not None:
-                    terms.append(forward[end - width] + self.logp[piece])
-                elif width == 1:
-                    bytes_ = list(text[end - 1].encode())
-                    terms.append(forward[end - 1] + self.logp[self.byte[bytes_]].sum())
+            terms = [forward[start] + logp for start, _, logp in self._steps(text, end)]
             top = max(terms)
             forward.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return forward[-1]
+        total = forward[-1]
+        if expected is None:
+            return total
+        # terms of the places that edges seen so far start from
+        behind: dict[int, list[float]] = {len(text): [0.0]}
+        for end in range(len(text), 0, -1):
+            terms = behind.pop(end, None)
+            if terms is None:  # no way from here to the end
+                continue
+            top = max(terms)
+            backward = top + math.log(sum(math.exp(t - top) for t in terms))
+            for start, pieces, logp in self._steps(text, end):
+                through = backward + logp
+                behind.setdefault(start, []).append(through)
+                share = weight * math.exp(forward[start] + through - total)
+                for piece in pieces:
+                    expected[piece] += share
+        return total
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's marginal probability."""
@@ -217,13 +241,13 @@ class Lattice:
         return out
 
     def expected_counts(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over the segmentations of weighted words.
-
-        Words above LONGEST are left to the smoothing of the fit.
-        """
+        """Expected uses of each piece over the segmentations of weighted words."""
         expected = np.zeros(len(self.logp))
         for part, codes in self._words(words):
-            if codes.shape[1] <= LONGEST + 1:
+            if codes.shape[1] > LONGEST + 1:
+                for i in part:
+                    self._walk(words[i], float(weights[i]), expected)
+            else:
                 self._batch(codes, weights[part], expected)
         return expected
 

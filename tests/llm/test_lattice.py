@@ -7,6 +7,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 
+from pageloom.llm import lattice as lattice_module
 from pageloom.llm.lattice import START, Lattice, lattice_scores, read_pieces
 from tests.llm.conftest import odd_rows
 
@@ -70,6 +71,28 @@ def test_long_words():
     assert np.isfinite(lattice.log_probabilities([word])).all()
 
 
+def test_long_words_count_in_the_fit(monkeypatch):
+    lattice = small()
+    words = ["a", "abab", "aéb", "", "bbbb", "ababa", "世ab\U0001f600", "abaéabab", "ab" * 40]
+    weights = np.arange(1.0, len(words) + 1)
+    expected = lattice.expected_counts(words, weights)
+    # every segmentation spells the 80 letters and the start
+    spelled = sum(n * len(p) for p, n in ((p, lattice.expected_counts(["ab" * 40], np.ones(1))[i]) for p, i in lattice.ids.items()))
+    assert abs(spelled - 81) < 1e-6
+    monkeypatch.setattr(lattice_module, "LONGEST", 2)
+    assert np.allclose(lattice.expected_counts(words, weights), expected)
+    monkeypatch.setattr(lattice_module, "LONGEST", 100)
+    assert np.allclose(lattice.expected_counts(words, weights), expected)
+
+
+def test_long_words_are_learned(spark):
+    run = "qxjzk" * 30
+    docs = spark.createDataFrame([(i, run + " house") for i in range(40)], "doc_id long, text string")
+    before = {r["doc_id"]: r["score"] for r in lattice_scores(docs, MODEL, rounds=0).collect()}
+    after = {r["doc_id"]: r["score"] for r in lattice_scores(docs, MODEL).collect()}
+    assert all(after[i] > 0.7 * before[i] for i in before)
+
+
 def test_installed_vocabulary_has_no_clashing_hashes():
     lattice = Lattice(*read_pieces(MODEL))
     words = ["the", "house", "thtionre", "naïve"]
