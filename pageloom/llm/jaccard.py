@@ -185,11 +185,17 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def compare(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, similarity: float):
+def compare(
+    sets: list[np.ndarray],
+    weight: np.ndarray,
+    block: np.ndarray,
+    similarity: float,
+    across: bool = False,
+):
     """Links between representatives: summed weights per row, and a spanning part of them.
 
-    Rows of different blocks are compared, and those of one block if there is
-    one only. Sets are sorted and distinct.
+    With ``across`` rows of different blocks are compared alone, as those of one
+    block meet elsewhere. Sets are sorted and distinct.
     """
     size = np.array([len(s) for s in sets], dtype=np.int64)
     values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -209,7 +215,7 @@ def compare(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, simil
     union = size[:, None] + size[None, :] - common
     linked = common >= similarity * union - 1e-6
     np.fill_diagonal(linked, False)
-    if block.min() != block.max():
+    if across:
         linked &= block[:, None] != block[None, :]
     links = linked @ weight
     # a forest of the links: search from each row not reached yet
@@ -258,10 +264,13 @@ def join_sets(sets: DataFrame, similarity: float) -> DataFrame:
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         nodes, counts, left, right = [], [], [], []
+        across = bool(frame["_i"].iloc[0] != frame["_j"].iloc[0])
         for _, group in frame.groupby("part", sort=False):
+            if across and group["_mine"].nunique() == 1:
+                continue  # the other block has no rows
             node, weight = group["node"].to_numpy(), group["weight"].to_numpy(np.int64)
             arrays = [np.frombuffer(s, dtype=np.uint64) for s in group["set"]]
-            links, forest = compare(arrays, weight, group["_mine"].to_numpy(), similarity)
+            links, forest = compare(arrays, weight, group["_mine"].to_numpy(), similarity, across)
             some = np.flatnonzero(links)
             nodes.extend(node[some])
             counts.extend(links[some])

@@ -84,6 +84,19 @@ def test_large_group_in_blocks(spark, monkeypatch):
     check(spark, varied(4, 150) + varied(5, 3) + [prose(20_000 + i, 80) for i in range(20)])
 
 
+def test_empty_blocks(spark, monkeypatch):
+    """More blocks than rows: no link is counted again in a pair with an empty block."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 300)
+    check(spark, [t for seed in range(30, 42) for t in varied(seed, 4)])
+
+
+def test_blocks_of_a_pair():
+    sets = [np.arange(i, i + 20, dtype=np.uint64) for i in range(3)]
+    one = np.ones(3, dtype=np.int64)
+    assert compare(sets, one, np.array([1, 1, 1]), 0.8, across=True)[0].tolist() == [0, 0, 0]
+    assert compare(sets, one, np.array([0, 0, 1]), 0.8, across=True)[0].tolist() == [1, 1, 2]
+
+
 def test_real_documents(documents, texts):
     found = near_duplicates(documents).orderBy("doc_id").collect()
     ids = sorted(texts)
