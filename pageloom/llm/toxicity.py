@@ -10,8 +10,9 @@ sentence probabilities say where the offence is.
 Features of a word are the word itself (lower case) and its character 4- and
 5-grams with the word's borders, so inflected and joined forms share evidence.
 The fit uses a sample of about ``sample`` labelled rows, chosen by hash of the
-id; the features are the ``most`` that toxic documents have most above clean ones. Scoring
-covers every whole text.
+id, with every row of a chosen id; the features are the ``most`` that toxic documents have
+most above clean ones. Rows and texts stay with the executors, however many a
+chosen id has. Scoring covers every whole text.
 
 Nulls: a null text is empty; a document without words or features has the score
 0. Rows with a null label, or with an id that is not unique in ``labels``
@@ -24,11 +25,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import narrow, packed, remainder
@@ -38,6 +40,9 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000  # words whose weight a task remembers
 _SLICE = 20_000  # sentences that a step of the fit looks at together
+_UNIT = 2.0**-32  # of slopes; sums below 2 ** 21 of them are exact
+_LOCAL = 8 << 20  # bytes of bags that are fitted in one process, or looked at together
+_PART = 16 << 20  # bytes of bags a partition
 LONGEST_WORD = 40  # longer words have no gram features
 
 
@@ -97,47 +102,60 @@ class NoisyOr:
         return -math.expm1(-clean), spans
 
 
-def fit_weights(
+def gradient(
+    value: np.ndarray,
     label: np.ndarray,
+    times: np.ndarray,
     owner: np.ndarray,
     size: np.ndarray,
     column: np.ndarray,
-    features: int,
-    steps: int = 400,
-    rate: float = 0.1,
-    ridge: float = 1e-3,
-) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled bags of sentences that have features.
+) -> np.ndarray:
+    """Summed slopes of the loss in the weights and the bias (the last of ``value``).
 
-    ``owner`` names the bag of each sentence and ``size`` how many of ``column``,
-    the features in order of sentences, are its own. Sentences are gone through
-    in slices, so what is held besides the features stays small.
+    ``label`` and ``times`` (how often it occurs) are those of each bag,
+    ``owner`` names the bag of each sentence that has features and ``size`` how
+    many of ``column``, the features in order of sentences, are its own.
+    Sentences are gone through in slices, so what is held besides the features
+    stays small.
 
     The loss of a clean document is A = sum of softplus(z) over its sentences,
     that of a toxic one -log(1 - exp(-A)); its slope in z is sigmoid(z) times 1
-    or -1 / (exp(A) - 1).
+    or -1 / (exp(A) - 1). Slopes are rounded to a unit of which sums are exact,
+    so they do not depend on the order of bags or on how bags are dealt out.
     """
-    label, bags = label.astype(bool), len(label)
+    weights, bias = value[:-1], value[-1]
     place = np.append(0, np.cumsum(size, dtype=np.int64))
     slices = [slice(i, min(i + _SLICE, len(owner))) for i in range(0, len(owner), _SLICE)]
+    z = np.zeros(len(owner))
+    for part in slices:
+        at = place[part]
+        own = column[at[0] : place[part.stop]]
+        z[part] = bias + np.add.reduceat(weights[own], at - at[0])
+    total = np.bincount(owner, np.logaddexp(0, z), minlength=len(label))
+    slope = np.where(label, -1 / np.expm1(np.clip(total, 1e-12, 500)), 1.0)
+    each = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
+    each = np.rint(each / _UNIT) * _UNIT * times[owner]
+    grad = np.append(np.zeros(len(weights)), each.sum())
+    for part in slices:
+        own = column[place[part.start] : place[part.stop]]
+        grad[:-1] += np.bincount(own, np.repeat(each[part], size[part]), minlength=len(weights))
+    return grad
+
+
+def descend(
+    slopes: Callable[[np.ndarray], np.ndarray],
+    bags: int,
+    features: int,
+    steps: int = 400,
+    rate: float = 0.1,
+    ridge: float = 1e-3,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias where the loss is least; ``slopes`` sums its gradient over all bags."""
     value = np.append(np.zeros(features), -4.0)
     first, second = np.zeros(features + 1), np.zeros(features + 1)
-    z = np.zeros(len(owner))
     for step in range(1, steps + 1):
-        weights, bias = value[:-1], value[-1]
-        for part in slices:
-            at = place[part]
-            own = column[at[0] : place[part.stop]]
-            z[part] = bias + np.add.reduceat(weights[own], at - at[0])
-        total = np.bincount(owner, np.logaddexp(0, z), minlength=bags)
-        slope = np.where(label, -1 / np.expm1(np.clip(total, 1e-12, 500)), 1.0)
-        each = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.append(np.zeros(features), each.sum())
-        for part in slices:
-            own = column[place[part.start] : place[part.stop]]
-            grad[:-1] += np.bincount(own, np.repeat(each[part], size[part]), minlength=features)
-        grad /= bags
-        grad[:-1] += ridge * weights / max(1, bags) ** 0.5
+        grad = slopes(value) / bags
+        grad[:-1] += ridge * value[:-1] / max(1, bags) ** 0.5
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         value = value - rate * (first / (1 - 0.9**step)) / (
@@ -146,6 +164,75 @@ def fit_weights(
     return value[:-1], float(value[-1])
 
 
+def fit_weights(
+    label: np.ndarray,
+    owner: np.ndarray,
+    size: np.ndarray,
+    column: np.ndarray,
+    features: int,
+    steps: int = 400,
+    rate: float = 0.1,
+    ridge: float = 1e-3,
+    times: np.ndarray | None = None,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias from labelled bags that are held here, as ``gradient`` takes them."""
+    label = label.astype(bool)
+    times = np.ones(len(label), dtype=np.int64) if times is None else times
+    return descend(
+        lambda value: gradient(value, label, times, owner, size, column),
+        int(times.sum()), features, steps, rate, ridge,
+    )
+
+
+def _flat(rows: list[Row]) -> tuple[np.ndarray, ...]:
+    """label, times, owner, size and column of rows of bags."""
+    label = np.array([r["_y"] for r in rows], dtype=bool)
+    times = np.array([r["times"] for r in rows], dtype=np.int64)
+    sizes = [np.frombuffer(r["sizes"], dtype=np.uint16) for r in rows]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s in sizes])
+    column = [np.frombuffer(r["columns"], dtype=np.uint16) for r in rows]
+    return label, times, owner, np.concatenate(sizes), np.concatenate(column)
+
+
+def fit_bags(bags: DataFrame, features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias from written bags: _y, sizes, columns, times.
+
+    Bags of at most _LOCAL bytes are fitted in the driver. Larger ones stay with
+    the executors: each step sums the gradient there, and only one number for
+    each feature comes back. Both give the same weights.
+    """
+    volume = F.sum(F.octet_length("sizes").cast("long") + F.octet_length("columns"))
+    count, bytes_ = bags.agg(F.sum("times"), volume).first()
+    if bytes_ <= _LOCAL:
+        label, times, owner, size, column = _flat(bags.collect())
+        return fit_weights(label, owner, size, column, features, times=times)
+
+    def chunks(rows: Iterator[Row]) -> Iterator[tuple[np.ndarray, ...]]:
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row["columns"])
+            if size > _LOCAL:
+                yield _flat(held)
+                held, size = [], 0
+        if held:
+            yield _flat(held)
+
+    parts = max(bags.sparkSession.sparkContext.defaultParallelism, bytes_ // _PART)
+    dealt = bags.rdd.coalesce(parts).mapPartitions(chunks).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def slopes(value: np.ndarray) -> np.ndarray:
+        def add(held: Iterator[tuple[np.ndarray, ...]]) -> Iterator[np.ndarray]:
+            yield sum((gradient(value, *chunk) for chunk in held), np.zeros(len(value)))
+
+        return dealt.mapPartitions(add).treeReduce(np.add, 1 if parts <= 64 else 2)
+
+    try:
+        return descend(slopes, count, features)
+    finally:
+        dealt.unpersist()
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -222,21 +309,12 @@ def train(
                 held_ = [f for f in found if f]
                 sizes.append(np.array([len(f) for f in held_], dtype=np.uint16).tobytes())
                 columns.append(np.array([i for f in held_ for i in f], dtype=np.uint16).tobytes())
-            yield pd.DataFrame({"_y": batch["_y"].astype(int), "sizes": sizes, "columns": columns})
-
-    # two bytes for each sentence and for each feature that is present
-    bags = rows.orderBy("doc_id").select("text", "_y").mapInPandas(
-        bag, "_y int, sizes binary, columns binary"
-    ).toArrow()
-
-    def joined(name: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b.as_py(), dtype=np.uint16) for b in bags[name]])
+            yield pd.DataFrame({"_y": batch["_y"], "sizes": sizes, "columns": columns})
 
-    count_of = np.array([len(b.as_py()) // 2 for b in bags["sizes"]])
-    owner = np.repeat(np.arange(len(count_of), dtype=np.int32), count_of)
-    label_, size, column = bags["_y"].to_numpy(), joined("sizes"), joined("columns")
-    del bags
-    weights, bias = fit_weights(label_, owner, size, column, len(names))
+    # two bytes for each sentence and for each feature that is present; equal bags are one
+    bags = rows.select("text", "_y").mapInPandas(bag, "_y boolean, sizes binary, columns binary")
+    bags = bags.groupBy("_y", "sizes", "columns").agg(F.count("*").alias("times"))
+    weights, bias = fit_bags(materialize(bags, "bags"), len(names))
     return NoisyOr(dict(zip(names, map(float, weights))), bias)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 
+from pageloom.llm import toxicity as module
 from pageloom.llm.toxicity import NoisyOr, fit_weights, toxicity, without_toxic
 from tests.llm.conftest import odd_rows, prose
 
@@ -53,6 +54,31 @@ def test_slope_of_the_loss():
     assert loss(weights, bias + 0.05) >= best - 1e-6 and loss(weights, bias - 0.05) >= best - 1e-6
 
 
+def test_bags_stay_with_the_executors(spark, monkeypatch):
+    """Many rows of one id do not come to the driver, and the fit is the same."""
+    rows, labels_ = [], []
+    for i in range(60):
+        text = prose(i, 20) + (" zorkhead" if i % 3 == 0 else "") + "."
+        rows += [(i, text)] * (300 if i == 3 else 1) + [(i, prose(500 + i, 9))]
+        labels_.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels_, "doc_id long, toxic int")
+    seen = []
+
+    def recorded(label, *args, **more):
+        seen.append(len(label))
+        return fit_weights(label, *args, **more)
+
+    monkeypatch.setattr(module, "fit_weights", recorded)
+    here = module.train(docs, labels, held=None)
+    assert here.weights and max(seen) <= 120
+    seen.clear()
+    monkeypatch.setattr(module, "_LOCAL", 0, raising=False)
+    there = module.train(docs, labels, held=None)
+    assert not seen
+    assert (there.weights, there.bias) == (here.weights, here.bias)
+
+
 def test_noisy_or():
     model = NoisyOr({"=bad": 3.0, "=poor": 0.5}, -1.0)
     p = 1 / (1 + np.exp(0.5)), 1 / (1 + np.exp(-2.0))
