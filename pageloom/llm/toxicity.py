@@ -25,7 +25,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,18 +41,18 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000  # words whose weight a task remembers
 _SLICE = 20_000  # sentences that a step of the fit looks at together
+_TEXT = 200_000  # characters of a text whose features are counted together
 _UNIT = 2.0**-32  # of slopes; sums below 2 ** 21 of them are exact
 _LOCAL = 8 << 20  # bytes of bags that are fitted in one process, or looked at together
 _PART = 16 << 20  # bytes of bags a partition
-LONGEST_WORD = 40  # longer words have no gram features
+LONGEST_WORD = 40  # features of longer words are not remembered or listed
 
 
-def word_features(word: str) -> list[str]:
-    if len(word) > LONGEST_WORD:
-        return [word]
+def word_features(word: str) -> Iterable[str]:
     edged = f"<{word}>"
-    grams = [edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1)]
-    return [f"={word}", *grams]
+    grams = (edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1))
+    features = chain((f"={word}",), grams)
+    return features if len(word) > LONGEST_WORD else list(features)
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -274,9 +275,14 @@ def train(
         for batch in batches:
             for text, y in zip(batch["text"], batch["_y"]):
                 words = set(_WORD.findall(text.lower()))
-                counts[bool(y)].update({f for w in words for f in word_features(w)})
-                if len(counts[0]) + len(counts[1]) > 500_000:
-                    yield flush()
+                # long texts take their features by parts, each feature in one of them
+                parts = 1 + len(text) // _TEXT
+                for k in range(parts):
+                    counts[bool(y)].update(
+                        {f for w in words for f in word_features(w) if parts == 1 or hash(f) % parts == k}
+                    )
+                    if len(counts[0]) + len(counts[1]) > 500_000:
+                        yield flush()
         yield flush()
 
     sizes = {bool(r["_y"]): r["count"] for r in rows.groupBy("_y").count().collect()}

@@ -79,6 +79,17 @@ def test_bags_stay_with_the_executors(spark, monkeypatch):
     assert (there.weights, there.bias) == (here.weights, here.bias)
 
 
+def test_long_joined_words(spark, monkeypatch):
+    """Grams of words of any length are learned and found."""
+    glued = "_".join(["house"] * 12)
+    assert NoisyOr({"zork": 5.0}, -1.0).score(f"{glued}_zorkhead_{glued}.", 0.5)[1] == [(0, 2 * len(glued) + 11)]
+    rows = [(i, f"{glued}{i}_{'zorkhead' if i % 2 else 'water'}_{glued}.") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(module, "_TEXT", 50, raising=False)
+    assert {r["doc_id"] for r in without_toxic(docs, labels).collect()} == set(range(0, 40, 2))
+
+
 def test_noisy_or():
     model = NoisyOr({"=bad": 3.0, "=poor": 0.5}, -1.0)
     p = 1 / (1 + np.exp(0.5)), 1 / (1 + np.exp(-2.0))
