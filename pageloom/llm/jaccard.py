@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import document_key, narrow, packed
@@ -376,6 +376,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` without near duplicates: the first document of each class stays, once."""
     found = jaccard_join(docs, **options)
     kept = found.filter("_id = first._id and _h = first._h").select("_id", "_h").distinct()
-    first = Window.partitionBy("_id", "_h").orderBy("_id")
-    numbered = packed(docs, *document_key()).withColumn("_copy", F.row_number().over(first))
-    return numbered.filter("_copy = 1").join(kept, ["_id", "_h"], "left_semi").select("_doc.*")
+    # of rows that share id and text the one whose other columns hash lowest stays; combined map-side
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    order = F.struct(F.xxhash64(others), F.col("text").isNull())
+    rows = packed(docs, *document_key(), order.alias("_order"))
+    single = rows.groupBy("_id", "_h").agg(F.min_by("_doc", "_order").alias("_doc"))
+    return single.join(kept, ["_id", "_h"], "left_semi").select("_doc.*")

@@ -117,6 +117,15 @@ def test_odd_rows(odd, empty):
     assert one_of_each(empty).count() == 0
 
 
+def test_row_that_stays_does_not_depend_on_order(spark):
+    rows = [(1, prose(50, 40), f"source {i}") for i in range(9)] + [(None, None, f"source {i}") for i in range(9)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").coalesce(1)
+        kept.append(sorted(one_of_each(df).collect(), key=str))
+    assert len(kept[0]) == 2 and kept[0] == kept[1]
+
+
 @pytest.mark.parametrize("recall", [0.9, 0.999])
 def test_bands_reach_the_recall(recall):
     bands, rows = choose_bands(0.8, recall)
