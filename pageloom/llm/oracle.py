@@ -74,7 +74,72 @@ JOIN budgets b ON f.source IS NOT DISTINCT FROM b.source
 JOIN keys k ON f.source IS NOT DISTINCT FROM k.source AND f.key = k.key
 """
 
+SEARCH = r"""
+WITH split AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sized AS (
+  SELECT doc, doc_id, len(terms) AS n FROM split WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sized
+), counted AS MATERIALIZED (
+  SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM split) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals GROUP BY term, docs
+), numbered AS (
+  SELECT row_number() OVER () AS item, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), asked AS (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT item, item_id, unnest(terms) AS term FROM numbered) GROUP BY ALL
+), scored AS (
+  SELECT item, item_id, doc, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN weighed USING (term) JOIN counted USING (term) JOIN sized USING (doc), totals
+  GROUP BY ALL
+)
+SELECT item_id,
+       (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank,
+       doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+NEGATIVES = r"""
+WITH clean AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.place AS anchor, a.vec_id AS anchor_id, b.place AS other, b.vec_id, a.label = b.label AS same,
+         list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM clean a JOIN clean b ON a.place <> b.place
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor, anchor_id, other AS positive, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, other) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor, p.positive
+                           ORDER BY s.score DESC, s.vec_id NULLS LAST, s.other))::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor)
+WHERE NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLE = {
     "op1_byte_shards": SHARDS,
     "op5_source_mix": MIX,
+    "op11_ranked_search": SEARCH,
+    "op12_hard_negatives": NEGATIVES,
 }

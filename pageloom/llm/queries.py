@@ -9,7 +9,10 @@ from pageloom.llm.decontaminate import leaks
 from pageloom.llm.jaccard import near_duplicates
 from pageloom.llm.lattice import lattice_scores
 from pageloom.llm.mixing import mix_sources
+from pageloom.llm.negatives import hard_negatives
+from pageloom.llm.pieces import round_trip as piece_round_trip
 from pageloom.llm.quality import quality
+from pageloom.llm.search import search
 from pageloom.llm.secret_scan import secret_scan
 from pageloom.llm.sharding import byte_shards
 from pageloom.llm.token_counts import token_counts
@@ -83,6 +86,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,5 +111,8 @@ QUERIES = {
         op8_jaccard_join,
         op9_quality_rules,
         op10_token_files,
+        op11_ranked_search,
+        op12_hard_negatives,
+        op13_piece_round_trip,
     )
 }
