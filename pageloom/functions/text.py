@@ -51,7 +51,7 @@ def ngrams(words: Column, n: int) -> Column:
     return grams
 
 
-def exploded(df: DataFrame, keep: list[str], items: Column, alias: str) -> DataFrame:
+def exploded(df: DataFrame, keep: list[str | Column], items: Column, alias: str) -> DataFrame:
     """One row per non-null, non-empty element of ``items``.
 
     ``explode_outer`` plus a filter gives the rows of ``explode`` but spares
@@ -62,6 +62,24 @@ def exploded(df: DataFrame, keep: list[str], items: Column, alias: str) -> DataF
     return rows.filter(F.col(alias).isNotNull() & (F.col(alias) != ""))
 
 
+def natural_key(text: Column) -> Column:
+    """A text that sorts as ``text`` does when digit runs count as numbers.
+
+    Each run of ASCII digits loses its leading zeros and gets its own length in
+    front, ten digits wide, so a longer number follows a shorter one and numbers
+    of one length compare digit by digit. Runs stay in place, so they sort where
+    digits sort among other characters.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)[0-9]+|[^0-9]+"), F.lit(0))
+
+    def number(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    keyed = F.transform(runs, lambda run: F.when(run.rlike("^[0-9]"), number(run)).otherwise(run))
+    return F.array_join(keyed, "")
+
+
 def collated(pages: DataFrame, collation: str = "UNICODE_CI_AI") -> DataFrame:
     """Page records whose words compare under a collation.
 

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import natural_key
+
 Tables = dict[str, DataFrame]
 
 # Ids of one term (its spellings in upper and lower case) that become a filter;
 # beyond that they are joined.
 MAX_IDS = 1000
 
-LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+LEADING_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
 def _given(name: str, value):
@@ -252,8 +254,11 @@ def sort_keys(rows: DataFrame, column: str, order: str = "asc") -> list[Column]:
     """Sort expressions for a result: numbers by value, or everything as text.
 
     ``order`` is ``asc``, ``desc`` or ``alpha``. Text that begins with a number
-    sorts by that number, before other text. Text compares by the rules of the
-    ``UNICODE`` collation.
+    sorts by that number. Other text compares by the rules of the ``UNICODE``
+    collation, digit runs anywhere in it by their value, so "page 9" comes
+    before "page 10". Text that sorts before digits (a null, nothing, white
+    space, punctuation) comes before numbers, other text after them. ``alpha``
+    compares character by character. ``desc`` is the reverse of ``asc``.
     """
     if order not in ("asc", "desc", "alpha"):
         raise ValueError("order must be asc, desc or alpha")
@@ -263,9 +268,12 @@ def sort_keys(rows: DataFrame, column: str, order: str = "asc") -> list[Column]:
     if dict(rows.dtypes)[column] == "string":
         leading = F.regexp_extract(F.col(column), LEADING_NUMBER, 1)
         number = F.nullif(leading, F.lit("")).try_cast("double")
+        early = F.col(column).isNull() | (text < F.collate(F.lit("0"), "UNICODE"))
+        group = F.when(number.isNotNull(), 1).when(early, 0).otherwise(2)
+        natural = F.collate(natural_key(F.col(column)), "UNICODE")
         if order == "desc":
-            return [number.desc_nulls_first(), text.desc_nulls_last()]
-        return [number.asc_nulls_last(), text.asc_nulls_first()]
+            return [group.desc(), number.desc_nulls_first(), natural.desc_nulls_last()]
+        return [group.asc(), number.asc_nulls_last(), natural.asc_nulls_first()]
     value = F.col(column)
     return [value.desc_nulls_last() if order == "desc" else value.asc_nulls_first()]
 

@@ -105,6 +105,10 @@ _CTES = {
               FROM p3) WHERE rank <= 10""",
     "share": """SELECT id_page, word, quantity,
         quantity::DOUBLE / sum(quantity) OVER (PARTITION BY id_page)::DOUBLE AS fraction FROM wf""",
+    "found": """SELECT d.title AS "TITLE", d.url AS "URL", f.quantity AS "QUANTITY",
+          regexp_extract(d.title, '[0-9]+')::BIGINT AS title_number, f.id_page
+        FROM wf f JOIN docs d USING (id_page)
+        WHERE f.word = (SELECT word FROM totals ORDER BY total_repetitions DESC, word LIMIT 1)""",
     "rates": """SELECT id_page, CASE WHEN n < 2 THEN 0.0::DOUBLE
           ELSE round(n / greatest(micros / 86400000000.0::DOUBLE, 1.0::DOUBLE), 2) END
           AS edits_per_day
@@ -113,6 +117,10 @@ _CTES = {
               FROM events WHERE ts IS NOT NULL GROUP BY user_id)""",
     "links": "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "edges": "SELECT DISTINCT src, dst FROM links WHERE src <> dst",
+    "own_links": "SELECT src, dst FROM links WHERE src IN (SELECT id_page FROM docs)",
+    "own_edges": "SELECT DISTINCT src, dst FROM own_links WHERE src <> dst",
+    "numbered": """SELECT id_page, url, row_number() OVER (ORDER BY id_page % 3 = 0, url) AS no
+        FROM docs""",
     "verts": "SELECT p_partkey AS id_page, 'part://' || p_partkey AS url, p_name AS title FROM part",
     "link_counts": "SELECT src AS id_page, count(DISTINCT dst) AS distinct_links FROM links GROUP BY src",
     "conn": """SELECT v.id_page, v.url, v.title, coalesce(i.n, 0) AS incoming_links,
@@ -164,10 +172,11 @@ _CTES = {
 
 # Which of the named steps each one reads.
 _NEEDS = {
+    "found": ["wf", "totals", "docs"],
     "w": ["docs"], "wf": ["w"], "totals": ["w"], "g2": ["docs"], "g3": ["docs"], "s2": ["g2"],
     "s3": ["g3"], "f2": ["s2"], "f3": ["s3"], "d2": ["f2"], "d3": ["f3"], "u2": ["g2"],
     "u3": ["g3"], "p2": ["u2"], "p3": ["u3"], "t2": ["p2"], "t3": ["p3"], "share": ["wf"],
-    "edges": ["links"], "link_counts": ["links"], "conn": ["verts", "edges"], "hubs": ["conn"],
+    "edges": ["links"], "own_links": ["links", "docs"], "own_edges": ["own_links"], "numbered": ["docs"], "link_counts": ["links"], "conn": ["verts", "edges"], "hubs": ["conn"],
     "repeated": ["links"], "gp": ["conn", "repeated", "rates"], "page_link": ["hrefs"], "hrefs": ["anchors"],
     "anchors": ["clean"], "titles": ["clean"],
 }
@@ -272,6 +281,47 @@ def _job_tables() -> list[tuple[str, str, str]]:
     return found
 
 
+def _second_run_tables() -> list[tuple[str, str, str]]:
+    """The tables over all pages, named by URL and word: pages of the first run come first."""
+    billionths = "round({} * 1e9::DOUBLE)::BIGINT"
+    percentage, fraction = billionths.format("fraction * 100"), billionths.format("fraction")
+    job = {name: (values, rows) for name, values, rows in _job_tables()}
+    found = [
+        (
+            "page",
+            job["page"][0].replace("id_page, ", "", 1),
+            job["page"][1].replace("FROM links l", "FROM own_links l").replace("FROM edges e", "FROM own_edges e"),
+        ),
+        (
+            "word",
+            "word, quantity, link_quantity",
+            """SELECT word, quantity, coalesce(link_quantity, 0) AS link_quantity
+              FROM (SELECT word, sum(quantity)::BIGINT AS quantity FROM wf GROUP BY word)
+              LEFT JOIN (SELECT word, count(*) AS link_quantity FROM own_links
+                         JOIN w ON w.id_page = own_links.dst GROUP BY word) USING (word)""",
+        ),
+        ("word_page", "word, url, quantity", "SELECT * FROM wf JOIN docs USING (id_page)"),
+        ("page_word", f"url, word, quantity, {percentage}, {fraction}", "SELECT * FROM share JOIN docs USING (id_page)"),
+    ]
+    for n in (2, 3):
+        keys = ", ".join(f"word{i}" for i in range(1, n + 1))
+        side = "<" if n == 2 else "<>"
+        found += [
+            (f"set{n}", f"{keys}, page_count", f"SELECT * FROM d{n}"),
+            (f"set{n}_page", f"{keys}, url, repetition_count", f"SELECT * FROM f{n} JOIN docs USING (id_page)"),
+            (
+                f"shared{n}",
+                "url1, url2, shared, rank",
+                f"""SELECT *, row_number() OVER (PARTITION BY no1 ORDER BY shared DESC, no2) AS rank FROM (
+                  SELECT a.no AS no1, b.no AS no2, any_value(a.url) AS url1, any_value(b.url) AS url2, count(*) AS shared
+                  FROM (SELECT * FROM u{n} JOIN numbered USING (id_page)) a
+                  JOIN (SELECT * FROM u{n} JOIN numbered USING (id_page)) b ON a.gram = b.gram AND a.no {side} b.no
+                  GROUP BY ALL) QUALIFY rank <= 10""",
+            ),
+        ]
+    return found
+
+
 ORACLE: dict[str, str] = {
     "load_pages": _with(
         "docs rates",
@@ -451,6 +501,22 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT row_number() OVER (ORDER BY quantity::VARCHAR, word), word, quantity,
             'alpha' FROM wf WHERE id_page = {_FIRST_DOC}""",
     ),
+    # numbers in titles and URLs by value: the digits follow a fixed beginning
+    "sorted_titles": _with(
+        "found",
+        " UNION ALL ".join(
+            f"""SELECT row_number() OVER (ORDER BY {keys}, "URL") AS position, "TITLE", "URL",
+              "QUANTITY", '{order}' AS sort_order FROM found"""
+            for order, keys in {
+                "TITLE asc": "title_number",
+                "TITLE desc": "title_number DESC",
+                "TITLE alpha": '"TITLE"',
+                "URL asc": "id_page",
+                "URL desc": "id_page DESC",
+                "URL alpha": '"URL"',
+            }.items()
+        ),
+    ),
     "link_count_of_page": _with(
         "titles page_link",
         """SELECT t.title AS "TITLE", t.url AS "URL",
@@ -514,6 +580,15 @@ ORACLE: dict[str, str] = {
             for name, values, rows in _job_tables()
         ),
     ),
+    "job_second_run": _with(
+        "wf f2 f3 d2 d3 u2 u3 share rates link_counts own_links own_edges numbered w",
+        "\nUNION ALL ".join(
+            f"""SELECT '{name}' AS table_name, count(*) AS n_rows,
+              sum(('0x' || substr(md5(concat_ws('|', {values})), 1, 8))::BIGINT)::BIGINT AS checksum
+            FROM ({rows})"""
+            for name, values, rows in _second_run_tables()
+        ),
+    ),
     # a copy adds nothing: words and shares of a page are those of the page alone
     "job_repeated_urls": _with(
         "wf docs",

@@ -17,9 +17,10 @@ from pageloom.operators import similarity as sim
 from pageloom.operators.ids import assign_ids
 from pageloom.plans import fixtures as fx
 from pageloom.plans.job import analysis_tables, run
+from pageloom.plans.second_run import update
 from pageloom.scratch import materialize, scratch_path
 from pageloom.sources import sinks
-from pageloom.sources.records import load_pages, spread
+from pageloom.sources.records import load_pages, read_tables, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -505,6 +506,21 @@ def sorted_result(spark, sf_dir):
     return positions[0].unionByName(positions[1]).unionByName(positions[2])
 
 
+@query
+def sorted_titles(spark, sf_dir):
+    """Pages of the most common word, in the orders that a reader may ask for by title and by URL."""
+    tables = _word_tables(spark, sf_dir)
+    found = materialize(lookup.top_pages_by_word(tables, _common_word(tables)), "found")
+    positions = [
+        assign_ids(found, [*lookup.sort_keys(found, column, order), "URL"], "position").withColumn(
+            "sort_order", F.lit(f"{column} {order}")
+        )
+        for column in ("TITLE", "URL")
+        for order in ("asc", "desc", "alpha")
+    ]
+    return reduce(DataFrame.unionByName, positions)
+
+
 @query
 def link_count_of_page(spark, sf_dir):
     pages = fx.read(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -602,11 +618,25 @@ CONTENT = {
 }
 
 
-def checksum(name: str, table: DataFrame) -> DataFrame:
+NAMED_CONTENT = {
+    "page": CONTENT["page"][1:],
+    "word": CONTENT["word"][1:],
+    "set2": ["word1", "word2", "page_count"],
+    "set3": ["word1", "word2", "word3", "page_count"],
+    "word_page": ["word", "url", "quantity"],
+    "page_word": ["url", "word", "quantity", "percentage", "fraction"],
+    "set2_page": ["word1", "word2", "url", "repetition_count"],
+    "set3_page": ["word1", "word2", "word3", "url", "repetition_count"],
+    "shared2": ["url1", "url2", "shared_sets_count", "rank"],
+    "shared3": ["url1", "url2", "shared_sets_count", "rank"],
+}
+
+
+def checksum(name: str, table: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows of a table, and the sum of a 32-bit hash of every row."""
     parts = [
         F.round(F.col(c) * 1e9).cast("long") if dict(table.dtypes)[c] == "double" else F.col(c)
-        for c in CONTENT[name]
+        for c in columns or CONTENT[name]
     ]
     line = F.concat_ws("|", *[part.cast("string") for part in parts])
     value = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
@@ -646,14 +676,79 @@ def job_repeated_urls(spark, sf_dir):
     ordered = both.repartitionByRange(1, "later").sortWithinPartitions("later", "id_page", "url")
     sinks.write_jsonl(ordered.drop("later", "id_page"), source)
     run(spark, source, folder)
-    page = spark.read.parquet(f"{folder}/page").select("id_page", "url", "title")
-    shares = spark.read.parquet(f"{folder}/page_word").join(page, "id_page")
+    tables = read_tables(spark, folder)
+    page = tables["page"].select("id_page", "url", "title")
+    shares = tables["page_word"].join(page, "id_page")
     sums = shares.groupBy("url", "title").agg(
         F.sum("quantity").alias("n_words"), F.round(F.sum("percentage"), 6).alias("percentage")
     )
     return sums
 
 
+def _linked_records(spark, sf_dir):
+    """Documents as records; a document links to the parts that the supplier of its number sells."""
+    target = F.concat(F.lit("doc://"), F.col("dst").cast("string"))
+    links = fx.links(spark, sf_dir).groupBy(F.col("src").alias("id_page")).agg(
+        F.collect_list(target).alias("links")
+    )
+    records = fx.corpus_with_rates(spark, sf_dir).join(links, "id_page", "left")
+    return records.select(
+        "id_page", "url", "title", "word_list", "bigrams", "trigrams",
+        F.coalesce("edits_per_day", F.lit(0.0)).alias("edits_per_day"),
+        F.coalesce("links", F.array().cast("array<string>")).alias("links"),
+    )
+
+
+@query
+def job_second_run(spark, sf_dir):
+    """A first run over two thirds of the pages, every fifth in an older form, and a second over the rest.
+
+    The older form has every second link and the first half of the words. The
+    second run brings the newer form and the pages that were not there.
+    """
+    first, second, folder = (scratch_path(spark, name) for name in ("jsonl", "jsonl", "tables"))
+    records = materialize(_linked_records(spark, sf_dir), "records")
+    there, older = F.col("id_page") % 3 != 0, F.col("id_page") % 5 == 0
+    half = F.slice("word_list", F.lit(1), F.floor(F.size("word_list") / 2).cast("int"))
+    words = F.when(older, half).otherwise(F.col("word_list"))
+    some = F.filter("links", lambda link, i: i % 2 == 0)
+    begun = records.filter(there).withColumns(
+        {
+            "word_list": words,
+            "title": F.when(older, F.lit("older")).otherwise(F.col("title")),
+            "links": F.when(older, some).otherwise(F.col("links")),
+        }
+    )
+    begun = begun.withColumn("bigrams", ngrams(F.col("word_list"), 2)).withColumn(
+        "trigrams", ngrams(F.col("word_list"), 3)
+    )
+    sinks.write_jsonl(begun.drop("id_page"), first)
+    sinks.write_jsonl(records.filter(~there | older).drop("id_page"), second)
+    run(spark, first, folder)
+    update(spark, second, folder)
+    return _named_checksums(read_tables(spark, folder))
+
+
+def _named_checksums(tables: dict[str, DataFrame]) -> DataFrame:
+    """Checksums of the tables' rows with URLs and words in place of ids."""
+    page = tables["page"].select("id_page", "url")
+    named = {"page": tables["page"], "word": tables["word"]}
+    for fact in ("word_page", "page_word"):
+        rows = tables[fact].join(page, "id_page")
+        named[fact] = rows.join(tables["word"].select("id_word", "word"), "id_word")
+    for n in (2, 3):
+        named[f"set{n}"] = tables[f"set{n}"]
+        grams = tables[f"set{n}"].select(f"id_set{n}", *freq.gram_words(n))
+        named[f"set{n}_page"] = tables[f"set{n}_page"].join(page, "id_page").join(grams, f"id_set{n}")
+        named[f"shared{n}"] = (
+            tables[f"shared{n}"]
+            .join(page.toDF("id_page1", "url1"), "id_page1")
+            .join(page.toDF("id_page2", "url2"), "id_page2")
+        )
+    sums = [checksum(name, named[name], NAMED_CONTENT[name]) for name in CONTENT]
+    return reduce(DataFrame.unionAll, sums)
+
+
 @query
 def raw_page_tables(spark, sf_dir):
     """Raw pages and revisions to stored tables: links, titles, rates, words of each page."""
@@ -662,6 +757,6 @@ def raw_page_tables(spark, sf_dir):
     records = prepare.page_records(fx.read(spark, sf_dir, "pages"), events, fx.RULES)
     sinks.write_jsonl(records.drop("id_page"), source)
     run(spark, source, folder)
-    return spark.read.parquet(f"{folder}/page").select(
+    return read_tables(spark, folder)["page"].select(
         "id_page", "url", "title", "edits_per_day", "distinct_links"
     )

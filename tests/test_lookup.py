@@ -138,6 +138,23 @@ def test_result_order(spark, tables):
         lookup.sorted_result(df, "v", "up")
 
 
+def test_natural_order(spark):
+    values = ["page 10", "page 9", "page 09b", "Page 9", "", None, "(a)", "7 up", "-2", "6.5", "1e1 x", "b", "a2b10",
+              "a2b9", "page " + "1" * 30, "page " + "2" * 29, "é1", "Infinity"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, n int")
+
+    def order(kind):
+        return [row["v"] for row in lookup.sorted_result(df, "v", kind).collect()]
+
+    expected = [
+        None, "", "(a)", "-2", "6.5", "7 up", "1e1 x", "Infinity", "a2b9", "a2b10", "b", "é1", "page 9", "Page 9",
+        "page 09b", "page 10", "page " + "2" * 29, "page " + "1" * 30,
+    ]
+    assert order("asc") == expected
+    assert order("desc") == expected[::-1]
+    assert order("alpha").index("page 10") < order("alpha").index("page 9")
+
+
 def test_json_rows(tables):
     found = answer(lookup.as_json(lookup.word_repetitions(tables, "artificial")))
     assert found == [('{"WORD":"artificial","TOTAL_REPETITIONS":100}',)]
