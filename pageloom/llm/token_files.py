@@ -1,20 +1,24 @@
 """Token ids as compressed binary files, and back.
 
 Each document is encoded, an end id is appended, and the ids of all documents
-are written in ascending order of doc_id (a null first; then by the ids), with
-a canonical Huffman code of limited length from the global counts of ids.
+are written in ascending order of doc_id (a null first; then by a hash of the
+ids), with a canonical Huffman code of limited length from the global counts of ids.
 
 The format is a folder with two tables:
 
 ``code``: one row, the code length of each id as bytes.
-``blocks``: part and number (their order is that of the documents), n_ids,
-payload (bits of the ids), checkpoints (bit offsets of every CHECKPOINT-th id,
-little-endian 32-bit), docs (doc_id or null, and how many of the block's ids
-are its own; ``last`` where the document ends in this block). A block has at
+``blocks``: part and number (their order is that of the documents), before
+(ids of earlier blocks of the part), n_ids, payload (bits of the ids), checkpoints (bit offsets of every CHECKPOINT-th id,
+little-endian 32-bit), docs (doc_id or null, how many of the block's ids are
+its own, how many of its ids are done in earlier blocks, and ``last`` where the
+document ends in this block). A block has at
 most BLOCK_IDS ids; a longer document goes through several.
 
 Blocks decode independently, so a lost executor loses a block's work at most.
 
+A vocabulary in use that needs codes of more than 24 bits (some four million
+ids) raises ValueError.
+
 Nulls: a null text is empty, so it is its end id alone. Repeated rows are
 written repeatedly. An empty table gives a code without ids and no blocks.
 """
@@ -38,7 +42,7 @@ from pageloom.scratch import materialize, scratch_path
 BLOCK_IDS = 1 << 18
 _CACHE = 600_000  # words whose ids a process remembers
 _CACHED_LENGTH = 64
-_ROW_BITS = 33
+_JOINED = 4096  # words encoded as one text
 
 # The white space of the tokenizer's pattern.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -51,32 +55,37 @@ _UNEVEN = re.compile(f"[{_WHITE}](?:[{_WHITE}]|\\Z)|\\A[{_WHITE}]|[\t\x0b-\r\x85
 
 
 class _Ids(dict):
-    """Ids of units (after ``lead``) as bytes; a unit that is not known comes back as text."""
+    """Ids of units (after ``lead``) as bytes; those of a new unit are filled in later."""
 
-    def __init__(self, wanted: dict, lead: str = ""):
+    def __init__(self, wanted: list, lead: str = ""):
         super().__init__()
         self._wanted, self._lead = wanted, lead
 
-    def __missing__(self, unit: str) -> str:
-        text = self._lead + unit
-        self._wanted[text] = self, unit
-        return text
+    def __missing__(self, unit: str) -> bytearray:
+        self[unit] = ids = bytearray()
+        self._wanted.append((self._lead + unit, ids, self, unit))
+        return ids
 
 
 class Encoder:
     """Encodes texts of a byte-level tokenizer file from remembered units.
 
     Units that are not known are collected over a batch of texts and encoded
-    together.
+    together: words after a blank as one text, whose ids are told apart by the
+    blanks that they begin with.
     """
 
     def __init__(self, path: str):
         self._tokenizer = load(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._wanted: dict[str, tuple[_Ids, str]] = {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._leads = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        # fixed value: how a byte-level tokenizer writes a blank
+        self._leads[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        self._wanted: list[tuple[str, bytearray, _Ids, str]] = []
         self._units, self._after_blank = _Ids(self._wanted), _Ids(self._wanted, " ")
 
-    def _parts(self, text: str) -> list[bytes | str]:
+    def _parts(self, text: str) -> list[bytes | bytearray]:
         if any(s in text for s in self._special):
             # special strings are found before units are
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,7 +93,7 @@ class Encoder:
         units, after = self._units.__getitem__, self._after_blank.__getitem__
         if not text or _UNEVEN.search(text):
             return list(map(units, _UNIT.findall(text)))
-        parts: list[bytes | str] = []
+        parts: list[bytes | bytearray] = []
         for line in text.split("\n"):
             words = iter(line.split(" "))
             parts.append(units(next(words)))
@@ -93,21 +102,35 @@ class Encoder:
         parts.pop()
         return parts
 
+    def _fill(self) -> None:
+        """Encode the units that were asked for and not known."""
+        after = [entry for entry in self._wanted if entry[2] is self._after_blank]
+        for at in range(0, len(after), _JOINED):
+            part = after[at : at + _JOINED]
+            encoded = self._tokenizer.encode_batch_fast(["".join(e[0] for e in part)], add_special_tokens=False)
+            ids = np.array(encoded[0].ids, dtype="<u4")
+            first = np.flatnonzero(self._leads[ids])
+            if len(first) != len(part):
+                raise ValueError("the tokenizer does not split before a blank that leads a word")
+            packed = ids.tobytes()
+            ends = [*(4 * first[1:]).tolist(), len(packed)]
+            for (_, holder, _, _), start, end in zip(part, (4 * first).tolist(), ends):
+                holder += packed[start:end]
+        others = [entry for entry in self._wanted if entry[2] is not self._after_blank]
+        encoded = self._tokenizer.encode_batch_fast([e[0] for e in others], add_special_tokens=False)
+        for (_, holder, _, _), e in zip(others, encoded):
+            holder += np.array(e.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        texts = [self._parts(text) for text in texts]
-        wanted = list(self._wanted.items())
+        parts = [self._parts(text) for text in texts]
+        self._fill()
+        found = [b"".join(p) for p in parts]
+        for _, _, known, unit in self._wanted:
+            if len(known) > _CACHE or len(unit) > _CACHED_LENGTH:
+                del known[unit]
         self._wanted.clear()
-        encoded = self._tokenizer.encode_batch_fast([t for t, _ in wanted], add_special_tokens=False)
-        fresh = {}
-        for (text, (known, unit)), e in zip(wanted, encoded):
-            fresh[text] = ids = np.array(e.ids, dtype="<u4").tobytes()
-            if len(known) < _CACHE and len(unit) <= _CACHED_LENGTH:
-                known[unit] = ids
-        for parts in texts:
-            for i in [i for i, part in enumerate(parts) if type(part) is str]:
-                parts[i] = fresh[parts[i]]
-        return [b"".join(parts) for parts in texts]
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -136,31 +159,31 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, tail = encoder(tokenizer).encode, np.array([end], dtype="<u4").tobytes()
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
-                ids = [_pack(i + tail) for i in encode(part["text"].tolist())]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": ids})
-
-    encoded = materialize(
-        narrow(docs, "doc_id", "text").mapInPandas(tokenise, "doc_id long, ids binary"), "ids"
-    )
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _encoders.clear()  # what this process remembered is not needed any more
-        total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            for packed in batch["ids"]:
-                found = np.bincount(_unpack(packed))
+                texts = part["text"].tolist()
+                distinct = dict.fromkeys(texts)
+                for text, ids in zip(distinct, encode(list(distinct))):
+                    distinct[text] = ids + tail
+                ids = [distinct[text] for text in texts]
+                found = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
                 if len(found) > len(total):
                     total = np.append(total, np.zeros(len(found) - len(total), dtype=np.int64))
                 total[: len(found)] += found
+                frame = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": list(map(_pack, ids))})
+                yield frame.assign(id=pd.NA, n=pd.NA).astype({"id": "Int64", "n": "Int64"})
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+        counts = pd.DataFrame({"doc_id": pd.NA, "ids": None, "id": used, "n": total[used]})
+        yield counts.astype({"doc_id": "Int64", "id": "Int64", "n": "Int64"})
 
-    counted = (
-        encoded.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # documents, and how often each task's documents have an id
+    written = materialize(
+        narrow(docs, "doc_id", "text").mapInPandas(tokenise, "doc_id long, ids binary, id long, n long"), "ids"
     )
+    encoded = written.filter("id is null").select("doc_id", "ids")
+    counted = written.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     pairs = counted.collect()  # a row for each id of the vocabulary
     counts = np.zeros(max((r["id"] for r in pairs), default=-1) + 1, dtype=np.int64)
     for row in pairs:
@@ -178,18 +201,18 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
         code = Code(shared.value)
         held: list[np.ndarray] = []
         owners: list[dict] = []
-        size = number = 0
+        size = number = before = 0
         part = None
 
         def close() -> pd.DataFrame:
-            nonlocal held, owners, size, number
+            nonlocal held, owners, size, number, before
             ids = np.concatenate(held)
             payload, checkpoints = code.encode(ids)
             row = {
-                "part": part, "number": number, "n_ids": len(ids), "payload": payload,
+                "part": part, "number": number, "before": before, "n_ids": len(ids), "payload": payload,
                 "checkpoints": checkpoints.astype("<u4").tobytes(), "docs": owners,
             }
-            held, owners, size, number = [], [], 0, number + 1
+            held, owners, size, number, before = [], [], 0, number + 1, before + len(ids)
             return pd.DataFrame([row])
 
         for batch in batches:
@@ -197,22 +220,28 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
                 part = int(here)
                 ids = _unpack(packed)
                 doc = None if pd.isna(doc) else int(doc)
-                while len(ids):
-                    room = ids[: BLOCK_IDS - size]
-                    ids = ids[len(room) :]
+                done = 0
+                while done < len(ids):
+                    room = ids[done : done + BLOCK_IDS - size]
                     held.append(room)
-                    owners.append({"doc_id": doc, "n": len(room), "last": not len(ids)})
+                    last = done + len(room) == len(ids)
+                    owners.append({"doc_id": doc, "n": len(room), "done": done, "last": last})
+                    done += len(room)
                     size += len(room)
                     if size == BLOCK_IDS:
                         yield close()
         if held:
             yield close()
 
-    ordered = encoded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # the range is found from samples that the driver sees, so ids stand in it by a hash;
+    # rows that agree in it are interchangeable, and the last column deals them out
+    order = ["doc_id", "_h", "_tie"]
+    keyed = encoded.withColumns({"_h": F.xxhash64("ids"), "_tie": F.xxhash64(F.monotonically_increasing_id())})
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.withColumn("part", F.spark_partition_id()).mapInPandas(
         block,
-        "part int, number int, n_ids long, payload binary, checkpoints binary, "
-        "docs array<struct<doc_id: long, n: long, last: boolean>>",
+        "part int, number int, before long, n_ids long, payload binary, checkpoints binary, "
+        "docs array<struct<doc_id: long, n: long, done: long, last: boolean>>",
     ).write.parquet(f"{folder}/blocks")
 
 
@@ -228,16 +257,9 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
     parts = materialize(blocks.groupBy("part").agg(F.sum("n_ids").alias("_ids")), "parts")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    places = (
-        blocks.select("part", "number", "n_ids")
-        .withColumn("_in_part", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
-        .join(F.broadcast(offsets), "part")
-        .select("part", "number", (F.col("_offset") + F.col("_in_part")).alias("place"))
-    )
     lengths = spark.read.parquet(f"{folder}/code").first()["lengths"]
     shared = spark.sparkContext.broadcast(np.frombuffer(bytes(lengths), dtype=np.uint8))
-    value = "crc long" if digest else "ids array<long>"
+    name, kind = ("ids_crc32", "long") if digest else ("ids", "array<long>")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = Code(shared.value)
@@ -246,49 +268,41 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
                 batch["payload"], batch["checkpoints"], batch["n_ids"], batch["docs"], batch["place"]
             ):
                 ids = code.decode(payload, np.frombuffer(marks, dtype="<u4"), int(n))
-                at, rows = 0, []
+                at, rows = int(place), []
                 for doc in docs:
-                    mine = ids[at : at + int(doc["n"])]
+                    mine = ids[at - int(place) :][: int(doc["n"])]
                     got = zlib.crc32(mine.astype("<u4").tobytes()) if digest else mine.astype(np.int64)
-                    rows.append((doc["doc_id"], int(place) + at, len(mine), doc["last"], got))
+                    rows.append((doc["doc_id"], at - int(doc["done"]), int(doc["done"]), len(mine), doc["last"], got))
                     at += len(mine)
-                frame = pd.DataFrame(rows, columns=["doc_id", "start", "n", "last", "value"])
+                frame = pd.DataFrame(rows, columns=["doc_id", "start", "done", "n", "last", name])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame.rename(columns={"value": value.split()[0]})
+                yield frame
 
     pieces = materialize(
-        blocks.join(places, ["part", "number"])
-        .select("payload", "checkpoints", "n_ids", "docs", "place")
-        .mapInPandas(decode, f"doc_id long, start long, n long, last boolean, {value}"),
+        blocks.join(F.broadcast(offsets), "part")
+        .select("payload", "checkpoints", "n_ids", "docs", (F.col("_offset") + F.col("before")).alias("place"))
+        .mapInPandas(decode, f"doc_id long, start long, done long, n long, last boolean, {name} {kind}"),
         "pieces",
     )
-    name = value.split()[0]
-    final = "ids_crc32" if digest else "ids"
-    # a piece is a whole document unless it, or the piece that ends where it starts, goes on
-    goes_on = pieces.filter("not last").select((F.col("start") + F.col("n")).alias("start"))
-    whole = pieces.filter("last").join(goes_on, "start", "left_anti")
-    whole = whole.select("doc_id", "start", F.col("n").alias("n_tokens"), F.col(name).alias(final))
-    parts_of = pieces.filter("not last").unionByName(pieces.filter("last").join(goes_on, "start", "left_semi"))
+    alone = F.col("last") & (F.col("done") == 0)
+    whole = pieces.filter(alone).select("doc_id", "start", F.col("n").alias("n_tokens"), name)
 
     def put_together(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("start")
-        rows, held = [], None
-        for doc, start, n, last, got in zip(frame["doc_id"], frame["start"], frame["n"], frame["last"], frame[name]):
-            if held is None:
-                held = [doc, start, 0, 0 if digest else []]
-            held[3] = join_crc(held[3], got, 4 * n) if digest else [*held[3], *got]
-            held[2] += n
-            if last:
-                rows.append(held)
-                held = None
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", final])
+        frame = frame.sort_values("done")
+        if digest:
+            value = 0
+            for got, n in zip(frame[name], frame["n"]):
+                value = join_crc(value, got, 4 * n)
+        else:
+            value = np.concatenate(list(frame[name]))
+        row = (frame["doc_id"].iloc[0], frame["start"].iloc[0], frame["n"].sum(), value)
+        out = pd.DataFrame([row], columns=["doc_id", "start", "n_tokens", name])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    # a few pieces for each document above a block
-    kind = "long" if digest else "array<long>"
-    long = parts_of.withColumn("_owner", F.col("doc_id")).groupBy("_owner").applyInPandas(
-        put_together, f"doc_id long, start long, n_tokens long, {final} {kind}"
+    # the pieces of one document above a block share its start
+    long = pieces.filter(~alone).groupBy("start").applyInPandas(
+        put_together, f"doc_id long, start long, n_tokens long, {name} {kind}"
     )
     return whole.unionByName(long)
 

@@ -10,7 +10,7 @@ from pageloom.llm.huffman import Code, code_lengths
 from pageloom.llm.token_counts import token_counts
 from pageloom.llm.token_files import encoder, join_crc, read_ids, round_trip, write_ids
 from pageloom.llm import token_files
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import odd_rows, prose
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,3 +116,29 @@ def test_files_round_trip(spark, odd, documents, texts, tmp_path, monkeypatch):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, list(r["ids"])) for r in found) == sorted(expected)
     assert [r["start"] for r in found][1:] == list(np.cumsum([r["n_tokens"] for r in found])[:-1])
     assert [r["doc_id"] for r in found if r["doc_id"] is not None] == sorted(i for i, *_ in odd_rows() if i is not None)
+
+
+def test_long_documents_under_one_id(spark, monkeypatch):
+    """Pieces of documents above a block meet by their place, not by their id."""
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
+    same = prose(1, 1500)
+    rows = [(None, same)] * 40 + [(7, same)] * 5 + [(i, prose(i, 30)) for i in range(100, 160)] + [(None, prose(9, 2000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = round_trip(docs, BYTES).orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(BYTES)
+    expected = [(i, np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes()) for i, t in rows]
+    expected = sorted((str(i), len(b) // 4, zlib.crc32(b)) for i, b in expected)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in found) == expected
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1]]
+    ids = [r["doc_id"] for r in found]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_encoder_tells_joined_words_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "_JOINED", 3)
+    tokenizer = Tokenizer.from_file(BYTES)
+    tool = token_files.Encoder(BYTES)
+    texts = ["a bb ccc dddd eeeee ffffff", "don't we'll x1y2 Ġ Ġa é́ \U0001f600 中文 -- !!", "one two\nthree four", " lead", "tail ", "", "a  b"]
+    for _ in range(2):
+        found = [np.frombuffer(b, "<u4").tolist() for b in tool.encode(texts)]
+        assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
