@@ -50,22 +50,35 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # white space stays together but for its last character. Units end where it
 # always splits, so encoding them one by one gives the same ids.
 _UNIT = re.compile(f"[{_WHITE}]+(?![^{_WHITE}])| ?[^{_WHITE}]+|[{_WHITE}]")
-# Texts without a match are words between single blanks and line breaks.
-_UNEVEN = re.compile(f"[{_WHITE}](?:[{_WHITE}]|\\Z)|\\A[{_WHITE}]|[\t\x0b-\r\x85-\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class _Ids(dict):
-    """Ids of units (after ``lead``) as bytes; those of a new unit are filled in later."""
+    """Ids of units as bytes; those of a new unit are filled in later."""
 
-    def __init__(self, wanted: list, lead: str = ""):
+    def __init__(self):
         super().__init__()
-        self._wanted, self._lead = wanted, lead
+        self.wanted: list[str] = []
 
     def __missing__(self, unit: str) -> bytearray:
         self[unit] = ids = bytearray()
-        self._wanted.append((self._lead + unit, ids, self, unit))
+        self.wanted.append(unit)
         return ids
 
+    def forget(self) -> None:
+        """Drop new units that are not to be remembered."""
+        room = _CACHE - len(self) + len(self.wanted)
+        for at, unit in enumerate(self.wanted):
+            if at >= room or len(unit) > _CACHED_LENGTH:
+                del self[unit]
+        self.wanted = []
+
+
+def _even(text: str) -> bool:
+    """Whether the text is words between single blanks and line breaks."""
+    words = text.split()
+    between = text.count(" ") + text.count("\n")
+    return between == len(words) - 1 and between + sum(map(len, words)) == len(text)
+
 
 class Encoder:
     """Encodes texts of a byte-level tokenizer file from remembered units.
@@ -82,8 +95,7 @@ class Encoder:
         self._leads = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         # fixed value: how a byte-level tokenizer writes a blank
         self._leads[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
-        self._wanted: list[tuple[str, bytearray, _Ids, str]] = []
-        self._units, self._after_blank = _Ids(self._wanted), _Ids(self._wanted, " ")
+        self._units, self._after_blank = _Ids(), _Ids()
 
     def _parts(self, text: str) -> list[bytes | bytearray]:
         if any(s in text for s in self._special):
@@ -91,7 +103,7 @@ class Encoder:
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
             return [np.array(ids, dtype="<u4").tobytes()]
         units, after = self._units.__getitem__, self._after_blank.__getitem__
-        if not text or _UNEVEN.search(text):
+        if not _even(text):
             return list(map(units, _UNIT.findall(text)))
         parts: list[bytes | bytearray] = []
         for line in text.split("\n"):
@@ -104,32 +116,29 @@ class Encoder:
 
     def _fill(self) -> None:
         """Encode the units that were asked for and not known."""
-        after = [entry for entry in self._wanted if entry[2] is self._after_blank]
-        for at in range(0, len(after), _JOINED):
-            part = after[at : at + _JOINED]
-            encoded = self._tokenizer.encode_batch_fast(["".join(e[0] for e in part)], add_special_tokens=False)
+        known, wanted = self._after_blank, self._after_blank.wanted
+        for at in range(0, len(wanted), _JOINED):
+            part = wanted[at : at + _JOINED]
+            encoded = self._tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
             ids = np.array(encoded[0].ids, dtype="<u4")
-            first = np.flatnonzero(self._leads[ids])
+            first = 4 * np.flatnonzero(self._leads[ids])
             if len(first) != len(part):
                 raise ValueError("the tokenizer does not split before a blank that leads a word")
             packed = ids.tobytes()
-            ends = [*(4 * first[1:]).tolist(), len(packed)]
-            for (_, holder, _, _), start, end in zip(part, (4 * first).tolist(), ends):
-                holder += packed[start:end]
-        others = [entry for entry in self._wanted if entry[2] is not self._after_blank]
-        encoded = self._tokenizer.encode_batch_fast([e[0] for e in others], add_special_tokens=False)
-        for (_, holder, _, _), e in zip(others, encoded):
-            holder += np.array(e.ids, dtype="<u4").tobytes()
+            starts = first.tolist()
+            for unit, start, end in zip(part, starts, [*starts[1:], len(packed)]):
+                known[unit] += packed[start:end]
+        encoded = self._tokenizer.encode_batch_fast(self._units.wanted, add_special_tokens=False)
+        for unit, e in zip(self._units.wanted, encoded):
+            self._units[unit] += np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         parts = [self._parts(text) for text in texts]
         self._fill()
         found = [b"".join(p) for p in parts]
-        for _, _, known, unit in self._wanted:
-            if len(known) > _CACHE or len(unit) > _CACHED_LENGTH:
-                del known[unit]
-        self._wanted.clear()
+        self._units.forget()
+        self._after_blank.forget()
         return found
 
 
