@@ -23,6 +23,7 @@ the text by one pattern, positions from their lengths.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,23 +50,74 @@ _FIRST, _CODES = 32, 96  # printable ASCII and one class for all else
 _BACKOFF = 8.0
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(pieces: Column, offset: Column) -> Column:
+    """(start, value) of pieces (gap, size, value) that follow ``offset``; copies what it has at each step."""
+    state = F.struct(offset.alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
+
+    def step(s: Column, piece: Column) -> Column:
+        start = s["at"] + piece["gap"]
+        found = F.struct(start.alias("start"), piece["value"].alias("value"))
+        return F.struct((start + piece["size"]).alias("at"), F.concat(s["found"], F.array(found)).alias("found"))
+
+    return F.aggregate(pieces, state, step, lambda s: s["found"])
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """(start, value) of the non-overlapping matches, leftmost first."""
+    """(start, value) of the non-overlapping matches, leftmost first; for texts that have some.
+
+    Starts are sums of the lengths before. They are added up for runs of about
+    the root of the matches' number, and within each run, so a text of very many
+    matches is not gone through again at each.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    state = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found")
+    pieces = F.zip_with(
+        F.split(text, pattern, -1),
+        values,
+        lambda gap, v: F.struct(F.length(gap).alias("gap"), F.length(v).alias("size"), v.alias("value")),
     )
+    pieces = F.filter(pieces, lambda piece: piece["value"].isNotNull())
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["gap"])
-        found = F.struct(start.alias("start"), pair["value"].alias("value"))
-        return F.struct(
-            (start + F.length(pair["value"])).alias("at"), F.concat(s["found"], F.array(found)).alias("found")
-        )
+    def by_runs(pieces: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(pieces), width)
+        runs = F.transform(firsts, lambda first: F.slice(pieces, first, width))
+
+        def together(runs: Column) -> Column:
+            # each run as one piece without a gap: its start is what lies before it
+            whole = F.transform(
+                runs,
+                lambda run: F.struct(
+                    F.lit(0).alias("gap"),
+                    F.aggregate(run, F.lit(0), lambda n, piece: n + piece["gap"] + piece["size"]).alias("size"),
+                    F.lit("").alias("value"),
+                ),
+            )
+            return F.flatten(F.zip_with(runs, _placed(whole, F.lit(0)), lambda run, at: _placed(run, at["start"])))
 
-    pairs = F.transform(values, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, state, step, lambda s: s["found"])
+        return _let(runs, together)
+
+    return _let(pieces, by_runs)
+
+
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of the spans (sorted, apart from each other) overlaps [start, end): a binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    state = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        beyond = F.get(spans, middle)["end"] > start
+        low = F.when((s["low"] < s["high"]) & ~beyond, middle + 1).otherwise(s["low"])
+        high = F.when((s["low"] < s["high"]) & beyond, middle).otherwise(s["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    first = F.aggregate(steps, state, step, lambda s: s["low"])
+    return F.coalesce(F.get(spans, first)["start"] < end, F.lit(False))
 
 
 def _spans(text: Column, rank: int) -> Column:
@@ -91,10 +143,9 @@ def _spans(text: Column, rank: int) -> Column:
 def scan(docs: DataFrame, shortest: int) -> DataFrame:
     """doc_id, base spans and candidate spans of every text, written."""
     text = F.col("text")
+    kinds = [f"_base{rank}" for rank in range(len(BASE))]
     spanned = narrow(docs, "doc_id", "text").select(
-        "doc_id",
-        "text",
-        F.concat(*[_spans(text, rank) for rank in range(len(BASE))]).alias("base"),
+        "doc_id", "text", *[_spans(text, rank).alias(kind) for rank, kind in enumerate(kinds)]
     )
     candidate = CANDIDATE % shortest
     free = F.when(
@@ -108,14 +159,17 @@ def scan(docs: DataFrame, shortest: int) -> DataFrame:
         ),
     ).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    def apart(c: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def apart(found: Column, kind: str) -> Column:
+        def without(spans: Column) -> Column:
+            return F.filter(found, lambda c: ~_meets(spans, c["start"], c["end"]))
 
+        return F.when(F.size(kind) == 0, found).otherwise(_let(F.col(kind), without))
+
+    spanned = spanned.withColumn("_free", free)
+    for kind in kinds:
+        spanned = spanned.withColumn("_free", apart(F.col("_free"), kind))
     return materialize(
-        spanned.withColumn("_free", free).select(
-            "doc_id", "base", F.filter("_free", apart).alias("free")
-        ),
-        "spans",
+        spanned.select("doc_id", F.concat(*kinds).alias("base"), F.col("_free").alias("free")), "spans"
     )
 
 
@@ -125,15 +179,21 @@ def _code(char: Column) -> Column:
     return F.when(number.between(0, _CODES - 2), number).otherwise(_CODES - 1)
 
 
+def _codes(value: Column) -> Column:
+    return F.transform(F.split(value, ""), _code)
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of character pairs from (string, is_secret), as one array.
 
     Pairs are counted by string first, so repeated strings cost nothing more.
     """
-    value = F.col("string")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(value) - 1),
-        lambda i: _code(F.substr(value, i, F.lit(1))) * _CODES + _code(F.substr(value, i + 1, F.lit(1))),
+    width = F.length("string") - 1
+    pairs = _let(
+        _codes(F.col("string")),
+        lambda codes: F.zip_with(
+            F.slice(codes, F.lit(1), width), F.slice(codes, F.lit(2), width), lambda a, b: a * _CODES + b
+        ),
     )
     counts = (
         samples.filter(F.length("string") >= 2)
@@ -159,15 +219,15 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def ratio(value: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a string, random over ordinary."""
+    """Log-likelihood ratio of a string, random over ordinary; one pass over its characters."""
     lookup = F.lit(table).cast("array<double>")
-    places = F.sequence(F.lit(1), F.length(value) - 1)
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
 
-    def step(total: Column, i: Column) -> Column:
-        left, right = _code(F.substr(value, i, F.lit(1))), _code(F.substr(value, i + 1, F.lit(1)))
-        return total + F.get(lookup, left * _CODES + right)
+    def step(s: Column, code: Column) -> Column:
+        gain = F.when(s["last"] >= 0, F.get(lookup, s["last"] * _CODES + code)).otherwise(0.0)
+        return F.struct(code.alias("last"), (s["total"] + gain).alias("total"))
 
-    return F.when(F.length(value) >= 2, F.aggregate(places, F.lit(0.0), step)).otherwise(0.0)
+    return F.aggregate(_codes(value), start, step, lambda s: s["total"])
 
 
 def identifiers(docs: DataFrame, sample: int) -> DataFrame:

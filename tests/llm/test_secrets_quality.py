@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from pageloom.llm.quality import chi_square_point, quality, robust_distances
-from pageloom.llm.secret_scan import secret_scan
+from pageloom.llm.secret_scan import secret_scan, train
 from tests.llm.conftest import odd_rows, prose
 
 ASSIGN = re.compile(
@@ -135,3 +135,52 @@ def test_robust_distances(spark):
 def test_chi_square_point():
     assert abs(chi_square_point(0.95, 4) - 9.4877) < 1e-3
     assert abs(chi_square_point(0.975, 6) - 14.4494) < 1e-3
+
+
+def markov_samples():
+    chosen = random.Random(3)
+    letters = string.ascii_letters + string.digits + "+/"
+    secrets = [("".join(chosen.choice(letters) for _ in range(40)), True) for _ in range(300)]
+    return secrets + [(w, False) for w in prose(11, 3000).replace(".", "").split()]
+
+
+def test_spans_of_texts_with_very_many_and_very_long_strings(spark):
+    chosen = random.Random(5)
+    letters = string.ascii_letters + string.digits + "+/"
+
+    def some(n):
+        return "".join(chosen.choice(letters) for _ in range(n))
+
+    samples = spark.createDataFrame(markov_samples(), "string string, is_secret boolean")
+    words = prose(12, 400).replace(".", "").split()
+    many = []
+    for i in range(50_000):
+        many.append((f"password={some(8)}", "_".join(chosen.sample(words, 4)), some(18), some(15), "é\U0001f600")[i % 5])
+    texts = {
+        1: f"see {some(1_000_000)} end",
+        2: " ".join(many),
+        3: f"token={some(30)}" + "deadbeef0123" * 3 + f" {some(20)}",
+        4: some(16),
+        5: "",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = train(samples)
+
+    def code(c):
+        return ord(c) - 32 if 32 <= ord(c) < 127 else 95
+
+    candidate = re.compile("[A-Za-z0-9+/_=-]{16,}")
+    for r in secret_scan(docs, samples).collect():
+        text = texts[r["doc_id"]]
+        base = base_spans(text)
+        taken = np.zeros(len(text) + 1, dtype=bool)
+        for a, _, _, b in base:
+            taken[a:b] = True
+        spans = list(base)
+        for m in candidate.finditer(text):
+            codes = [code(c) for c in m[0]]
+            if not taken[m.start() : m.end()].any() and sum(table[a * 96 + b] for a, b in zip(codes, codes[1:])) > 10:
+                spans.append((m.start(), 3, "markov", m.end()))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        assert r["n_markov"] == len(spans) - len(base)
+        assert r["n_markov"] > (9000 if r["doc_id"] == 2 else 0) - (r["doc_id"] in (3, 5))
