@@ -19,6 +19,9 @@ Tables = dict[str, DataFrame]
 # beyond that they are joined.
 MAX_IDS = 1000
 
+# Pages that a list of hubs may name.
+MAY_BE_HUB = "connectivity_score > 0 or total_repetitions > 1"
+
 LEADING_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
@@ -148,7 +151,7 @@ def link_count_of_page(tables: Tables, url: str) -> DataFrame:
     )
 
 
-def _hub_score() -> Column:
+def hub_score() -> Column:
     score = F.col("connectivity_score") * F.lit(0.6) + F.col("total_repetitions") * F.lit(0.4)
     return F.round(score, 2)
 
@@ -174,7 +177,7 @@ def page_connections(tables: Tables, url: str) -> DataFrame:
         F.col("title").alias("PAGE_TITLE"),
         F.col("url").alias("PAGE_URL"),
         F.col("connectivity_score").alias("CONNECTIVITY_SCORE"),
-        _hub_score().alias("HUB_SCORE"),
+        hub_score().alias("HUB_SCORE"),
         F.col("total_repetitions").alias("TOTAL_REPETITIONS"),
     )
 
@@ -182,8 +185,8 @@ def page_connections(tables: Tables, url: str) -> DataFrame:
 def top_hub_pages(tables: Tables, limit: int | None = 15) -> DataFrame:
     return (
         tables["page"]
-        .filter("connectivity_score > 0 or total_repetitions > 1")
-        .withColumn("hub_score", _hub_score())
+        .filter(MAY_BE_HUB)
+        .withColumn("hub_score", hub_score())
         .orderBy(F.desc("hub_score"), "url")
         .limit(_limit(limit, 15))
         .select(

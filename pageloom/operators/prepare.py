@@ -7,15 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.html import block_text, block_text_batches, heading, hrefs
+from pageloom.functions.html import block_text, heading, hrefs
 from pageloom.functions.text import kept_words, ngrams
 from pageloom.functions.urls import LinkRules, normalize_url
 
 
 def page_text(pages: DataFrame, repeat: bool = True) -> DataFrame:
-    """Block text of each page: a per-row parse in Arrow batches, no shuffle."""
-    narrow = pages.select("page_id", "html")
-    return narrow.mapInPandas(block_text_batches(repeat), "page_id long, text string")
+    """Block text of each page, within its row."""
+    return pages.select("page_id", block_text(F.col("html"), repeat).alias("text"))
 
 
 def page_title(pages: DataFrame, fallback: str | None = None) -> DataFrame:
@@ -107,17 +106,13 @@ def page_records(
     """
     rates = edit_rate(revisions).withColumnRenamed("page", "page_id")
     rated = pages.select("page_id", "url", "html").join(rates, "page_id", "left")
-    titled = rated.withColumn("title", heading(F.col("html")))
-    linked = titled.withColumn("links", link_array(F.col("html"), rules))
-
-    def parse(batches):
-        for batch in batches:
-            texts = [block_text(x, repeat) for x in batch["html"]]
-            yield batch.drop(columns="html").assign(text=texts)
-
-    parsed = linked.select("page_id", "url", "edits_per_day", "title", "links", "html").mapInPandas(
-        parse,
-        "page_id long, url string, edits_per_day double, title string, links array<string>, text string",
+    parsed = rated.select(
+        "page_id",
+        "url",
+        "edits_per_day",
+        heading(F.col("html")).alias("title"),
+        link_array(F.col("html"), rules).alias("links"),
+        block_text(F.col("html"), repeat).alias("text"),
     )
     return with_terms(parsed, "text", stopwords).select(
         F.col("page_id").alias("id_page"),

@@ -65,6 +65,73 @@ _CONTENT = (
     "'<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis')"
 )
 
+# a page as comments, scripts and styles, declarations, tags and text
+_TOKEN = _text(
+    r"(?is)<!--.*?-->|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\z)|<[!?][^>]*>"
+    r"""|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<"""
+)
+_EMPTY_ELEMENTS = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
+_TEXT_BLOCKS = "'p','h1','h2','h3','h4','h5'"
+
+
+def _page_text(repeat: bool) -> str:
+    """Open elements as a stack in a fold over the tokens; rows of pieces, put together by block."""
+    state = (
+        "struct_pack(kind := {kind}, name := {name}, text := {text}, stack := {stack}, blocks := {blocks}, "
+        "run := {run}, found := {found})"
+    )
+    token = state.format(
+        kind=rf"""CASE WHEN x[1] <> '<' OR x = '<' THEN 'text' WHEN x LIKE '<!--%' THEN 'gap'
+          WHEN x[2] IN ('!', '?') THEN 'none' WHEN x[2] = '/' THEN 'close'
+          WHEN regexp_matches(x, '^<(script|style)([ \t\n/>]|$)', 'i') THEN 'gap'
+          WHEN lower(regexp_extract(x, '^<([a-zA-Z][^\s/>]*)', 1)) IN ({_EMPTY_ELEMENTS}) THEN 'gap'
+          WHEN x LIKE '%/>' THEN 'empty' ELSE 'open' END""",
+        name=r"lower(regexp_extract(x, '^</?([a-zA-Z][^\s/>]*)', 1))",
+        text="x",
+        stack="[]::STRUCT(name VARCHAR, block INTEGER)[]",
+        blocks="0::INTEGER",
+        run="''",
+        found="[]::STRUCT(block INTEGER, place INTEGER, text VARCHAR)[]",
+    )
+    owners = "list_filter(s.stack, lambda o: o.block >= 0)"
+    if not repeat:
+        owners = f"({owners})[-1:]"
+    flushed = f"""CASE WHEN s.run = '' THEN s.found ELSE list_concat(s.found, list_transform({owners},
+        lambda o: struct_pack(block := o.block, place := len(s.found)::INTEGER, text := s.run))) END"""
+    block = f"(t.kind IN ('open', 'empty') AND t.name IN ({_TEXT_BLOCKS}))"
+    back = "list_position(list_reverse(list_transform(s.stack, lambda o: o.name)), t.name)"
+    kept = {"kind": "''", "name": "''", "text": "''"}
+    text = state.format(**kept, stack="s.stack", blocks="s.blocks", run="s.run || t.text", found="s.found")
+    tag = state.format(
+        **kept,
+        stack=f"""CASE WHEN t.kind = 'open' THEN list_append(s.stack, struct_pack(name := t.name,
+            block := CASE WHEN {block} THEN s.blocks ELSE -1::INTEGER END))
+          WHEN t.kind = 'close' AND coalesce({back}, 0) > 0 THEN s.stack[:len(s.stack) - {back}]
+          ELSE s.stack END""",
+        blocks=f"(s.blocks + CASE WHEN {block} THEN 1 ELSE 0 END)::INTEGER",
+        run="''",
+        found=f"""list_concat({flushed}, CASE WHEN {block}
+            THEN [struct_pack(block := s.blocks, place := -1::INTEGER, text := '')]
+            ELSE []::STRUCT(block INTEGER, place INTEGER, text VARCHAR)[] END)""",
+    )
+    return f"""WITH taken AS MATERIALIZED (
+          SELECT page_id, list_transform(list_append(list_prepend('', regexp_extract_all(coalesce(html, ''), {_TOKEN})), '<!---->'),
+            lambda x: {token}) AS tokens FROM pages
+        ), folded AS MATERIALIZED (
+          SELECT page_id, list_reduce(tokens, lambda s, t: CASE WHEN t.kind = 'none' THEN s
+            WHEN t.kind = 'text' THEN {text} ELSE {tag} END).found AS found FROM taken
+        ), pieces AS (
+          SELECT page_id, f.block AS block, f.place AS place, {_stripped(_unescape("f.text"))} AS piece
+          FROM (SELECT page_id, unnest(found) AS f FROM folded)
+        ), blocks AS (
+          SELECT page_id, block,
+            coalesce(string_agg(piece, ' ' ORDER BY place) FILTER (WHERE place >= 0 AND piece <> ''), '') AS block_text
+          FROM pieces GROUP BY ALL
+        )
+        SELECT p.page_id, coalesce(b.text, '') AS text FROM pages p LEFT JOIN (
+          SELECT page_id, string_agg(block_text, ' ' ORDER BY block) AS text FROM blocks GROUP BY page_id) b USING (page_id)"""
+
+
 _PAIR = "list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])"
 _TRIPLE = (
     "list_transform(range(1, len(words) - 1), "
@@ -351,6 +418,8 @@ ORACLE: dict[str, str] = {
           c.total_connections AS quant_diff_urls
         FROM conn c LEFT JOIN rates r USING (id_page)""",
     ),
+    "page_text": _page_text(True),
+    "page_text_innermost": _page_text(False),
     "page_title": _with(
         "titles", "SELECT page_id, coalesce(title, replace(url, '_', ' ')) AS title FROM titles"
     ),
@@ -486,6 +555,11 @@ ORACLE: dict[str, str] = {
         "wf",
         f"""SELECT word AS "WORD", quantity AS "QUANTITY" FROM wf WHERE id_page = {_FIRST_DOC}""",
     ),
+    "words_of_page_json": _with(
+        "wf",
+        f"""SELECT to_json(list(struct_pack("WORD" := word, "QUANTITY" := quantity) ORDER BY word))::VARCHAR AS json
+        FROM wf WHERE id_page = {_FIRST_DOC}""",
+    ),
     "word_percentages_of_page": _with(
         "share",
         f"""SELECT word AS "WORD", fraction * 100 AS "PERCENTAGE" FROM share

@@ -20,7 +20,7 @@ from pageloom.plans.job import analysis_tables, run
 from pageloom.plans.second_run import update
 from pageloom.scratch import materialize, scratch_path
 from pageloom.sources import sinks
-from pageloom.sources.records import load_pages, read_tables, spread
+from pageloom.sources.records import load_pages, read_first, read_tables, spread, stored_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,6 +490,11 @@ def words_of_page(spark, sf_dir):
     return lookup.words_of_page(*_page_word_tables(spark, sf_dir))
 
 
+@query
+def words_of_page_json(spark, sf_dir):
+    return lookup.as_json_array(lookup.words_of_page(*_page_word_tables(spark, sf_dir)))
+
+
 @query
 def word_percentages_of_page(spark, sf_dir):
     return lookup.word_percentages_of_page(*_page_word_tables(spark, sf_dir))
@@ -544,9 +549,18 @@ def _first_part(spark, sf_dir):
     return f"part://{_first(first)['id_page']}"
 
 
+def _ranked(spark, table: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first rows of a table from a copy that is stored in their order."""
+    path = scratch_path(spark, "ranked")
+    sinks.write_ranked(table, path, order)
+    return read_first(spark, path, limit)
+
+
 @query
 def top_interconnected(spark, sf_dir):
-    return lookup.top_interconnected(_graph_tables(spark, sf_dir))
+    page = fx.graph_page_table(spark, sf_dir)
+    order = [F.desc("connectivity_score"), F.desc("total_repetitions"), F.asc("url")]
+    return lookup.top_interconnected({"page": _ranked(spark, page, order, 10)}, 10)
 
 
 @query
@@ -556,7 +570,9 @@ def page_connections(spark, sf_dir):
 
 @query
 def top_hub_pages(spark, sf_dir):
-    return lookup.top_hub_pages(_graph_tables(spark, sf_dir))
+    page = fx.graph_page_table(spark, sf_dir).filter(lookup.MAY_BE_HUB)
+    order = [lookup.hub_score().desc(), F.asc("url")]
+    return lookup.top_hub_pages({"page": _ranked(spark, page, order, 15)}, 15)
 
 
 @query
@@ -572,20 +588,27 @@ def page_repetitions(spark, sf_dir):
 
 @query
 def summary(spark, sf_dir):
+    """Sizes of the stored dictionaries, from their files' footers."""
     pages = fx.corpus(spark, sf_dir)
+    tables = {"total_pages": fx.documents(spark, sf_dir).select("id_page")}
+    items = {"total_words": "word_list", "total_word_pairs": "bigrams", "total_word_triplets": "trigrams"}
+    for name, column in items.items():
+        tables[name] = exploded(pages, [], F.col(column), "item").distinct()
+    return stored_sizes(spark, _written(spark, tables))
 
-    def distinct(items: str) -> DataFrame:
-        return exploded(pages, [], F.col(items), "item").distinct()
 
-    tables = {name: distinct(items) for name, items in (("word", "word_list"), ("set2", "bigrams"), ("set3", "trigrams"))}
-    return lookup.summary({"page": fx.documents(spark, sf_dir).select("id_page"), **tables})
+def _written(spark, tables: dict[str, DataFrame]) -> dict[str, str]:
+    paths = {name: scratch_path(spark, name) for name in tables}
+    for name, table in tables.items():
+        sinks.write_table(table, paths[name])
+    return paths
 
 
 @query
 def load_check(spark, sf_dir):
     words = materialize(freq.word_page_frequency(fx.corpus(spark, sf_dir)).select("word"), "words")
-    tables = {"word": words.distinct(), "word_page": words}
-    return lookup.load_check({"page": fx.documents(spark, sf_dir).select("id_page"), **tables})
+    tables = {"pages": fx.documents(spark, sf_dir).select("id_page"), "words": words.distinct(), "word_pages": words}
+    return stored_sizes(spark, _written(spark, tables))
 
 
 @query
@@ -595,7 +618,9 @@ def available_pages(spark, sf_dir):
 
 @query
 def available_words(spark, sf_dir):
-    return lookup.available_words({"word": freq.word_totals(fx.corpus(spark, sf_dir))})
+    words = freq.word_totals(fx.corpus(spark, sf_dir))
+    first = _ranked(spark, words, [F.desc("total_repetitions"), F.asc("word")], 100)
+    return lookup.available_words({"word": first}, 100)
 
 
 # The whole job
@@ -671,11 +696,10 @@ def job_repeated_urls(spark, sf_dir):
     again = records.filter("id_page % 3 = 0")
     spelled = F.array(F.concat(F.upper("url"), F.lit("/")), F.concat(F.lit(" "), "url", F.lit("\t")), F.lit(None))
     copies = again.withColumn("url", F.explode(spelled)).withColumn("title", F.lit("copy"))
-    both = records.withColumn("later", F.lit(0)).unionByName(copies.withColumn("later", F.lit(1)))
-    # one file, so that the copies stand after what they copy
-    ordered = both.repartitionByRange(1, "later").sortWithinPartitions("later", "id_page", "url")
-    sinks.write_jsonl(ordered.drop("later", "id_page"), source)
-    run(spark, source, folder)
+    # the names of the folders say which come first
+    sinks.write_jsonl(records.drop("id_page"), f"{source}/0-records")
+    sinks.write_jsonl(copies.drop("id_page"), f"{source}/1-copies")
+    run(spark, f"{source}/*", folder)
     tables = read_tables(spark, folder)
     page = tables["page"].select("id_page", "url", "title")
     shares = tables["page_word"].join(page, "id_page")

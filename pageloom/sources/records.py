@@ -87,6 +87,17 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
 
 
+def read_first(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The files of a table by ``write_ranked`` that hold its first ``limit`` rows.
+
+    They may hold some more, and rows come in no order.
+    """
+    ranges = spark.read.parquet(f"{path}/_ranges").filter(F.col("before") < limit)
+    last = ranges.agg(F.max("_range")).first()[0]
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("_range") <= (-1 if last is None else last)).drop("_range")
+
+
 def stored_sizes(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     """One row with the number of rows of each stored table, from the files' footers.
 

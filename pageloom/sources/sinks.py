@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.operators.ids import assign_ids
@@ -37,6 +37,22 @@ def write_table(df: DataFrame, path: str, sort: list[str] | None = None) -> None
     df.write.mode("overwrite").parquet(path)
 
 
+def write_ranked(df: DataFrame, path: str, order: list[Column]) -> None:
+    """Replace the table at ``path`` by a copy whose files follow each other in ``order``.
+
+    Beside the files stands how many rows lie before each of them, so that
+    ``read_first`` opens no more files than it needs. The order should end with
+    a key, so that no range of equal rows falls to one task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.withColumn("_range", F.spark_partition_id()).write.mode("overwrite").partitionBy("_range").parquet(path)
+    # one row a range; the counts come from the files' footers
+    sizes = df.sparkSession.read.parquet(path).groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before")
+    sizes.select("_range", before).coalesce(1).write.mode("overwrite").parquet(f"{path}/_ranges")
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         words = [column for column in df.columns if column.startswith("word")]

@@ -172,11 +172,25 @@ def test_pair_budget_bounds_the_lists(spark, monkeypatch):
     classes = spark.createDataFrame([("a", 2, 1), ("b", 8, 1), ("c", 4096, 1)],
                                     "item string, size long, weight long")
     postings = spark.range(4106)
-    assert sim._bound(classes, postings) == 8
+    assert sim._bound(classes, postings) == (8, False)
     monkeypatch.setattr(sim, "PAIRS_PER_POSTING", 10_000)
-    assert sim._bound(classes, postings) == 8
+    assert sim._bound(classes, postings) == (8, True)
     monkeypatch.setattr(sim, "LONGEST", 4096)
-    assert sim._bound(classes, postings) == 4096
+    assert sim._bound(classes, postings) == (4096, True)
+
+
+@pytest.mark.parametrize("pairs", [0, 1000])
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_top_shared_within_and_beyond_the_budget(hot_corpus, monkeypatch, pairs, symmetric):
+    """Large classes are expanded where the budget allows, and searched by bounds where not."""
+    members, postings = hot_corpus
+    expected = rows(sim.top_shared(postings, 2, symmetric, hot=10_000))
+    monkeypatch.setattr(sim, "LONGEST", 2)
+    monkeypatch.setattr(sim, "PAIRS_PER_POSTING", pairs)
+    monkeypatch.setattr(sim, "CELL", 3)
+    assert rows(sim.top_shared(postings, 2, symmetric)) == expected
+    found = {(r.page1, r.page2): r.shared for r in sim.shared_pairs(postings, 2).collect()}
+    assert found == {pair: n for pair, n in brute(members).items() if n >= 2}
 
 
 def test_hot_class_is_joined_in_cells(spark, monkeypatch):

@@ -1,13 +1,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.operators import lookup
 from pageloom.plans.job import run
 from pageloom.schema import TABLES
 from pageloom.scratch import materialize, scratch_root
 from pageloom.sources import sinks
-from pageloom.sources.records import load_pages, read_tables, rejected_lines, spread
+from pageloom.sources.records import load_pages, read_first, read_tables, rejected_lines, spread
 
 from .conftest import rows
 
@@ -132,3 +133,23 @@ def test_scratch_follows_the_session():
         scratch_root(Session(spark_master="yarn"))
     with pytest.raises(RuntimeError):
         scratch_root(Session(spark_master="local[2]"))
+
+
+def test_ranked_copy_opens_the_first_files_only(spark, tmp_path):
+    path = str(tmp_path / "ranked")
+    table = spark.range(1000).selectExpr("id", "id % 7 as score").repartition(5)
+    order = [F.desc("score"), F.asc("id")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    sinks.write_ranked(table, path, order)
+    expected = sorted(((i % 7, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
+    for limit in (1, 10, 300, 2000):
+        first = read_first(spark, path, limit)
+        found = [(r.score, r.id) for r in first.orderBy(*order).limit(limit).collect()]
+        assert found == expected[:limit]
+    every = len(spark.read.parquet(path).inputFiles())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert every > 2
+    plan = read_first(spark, path, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan
+    sinks.write_ranked(table.limit(0), path, order)
+    assert read_first(spark, path, 10).count() == 0

@@ -110,15 +110,36 @@ PAGE = """<html><head><title>T</title><script>var t="</p><a href='/no'>";</scrip
 <a class="x" href="/wiki/X">x</a><a href='./Y?a=1&amp;b=2'>y</a><a name="z">z</a></body></html>"""
 
 
-def test_block_text():
-    assert html.block_text(PAGE, repeat=False) == "A & B one two three skip x y z four five"
-    assert "hidden" not in html.block_text(PAGE) and "var t" not in html.block_text(PAGE)
+def test_block_text(spark):
+    def text(page, repeat=True):
+        return one(spark, html.block_text(F.col("h").cast("string"), repeat), h=page)
+
+    assert text(PAGE, False) == "A & B one two three skip x y z four five"
+    assert "hidden" not in text(PAGE) and "var t" not in text(PAGE)
     nested = "<p>a<p>b</p></p><p>c</p>"
-    assert html.block_text(nested, repeat=False) == "a b c"
-    assert html.block_text(nested) == "a b b c"
-    assert html.block_text("<p>a<p>b</p>") == "a b b"
-    assert html.block_text(None) == ""
-    assert html.block_text("<div>x</div><h5>y</h5>") == "y"
+    assert text(nested, False) == "a b c"
+    assert text(nested) == "a b b c"
+    assert text("<p>a<p>b</p>") == "a b b"
+    assert text("") == text("<p>") == text("no block") == ""
+    assert text("<div>x</div><h5>y</h5>") == "y"
+    assert text("<p/><p></p><p>a</p>") == "  a"
+    assert text("<p title='a>b'>x < y<!-- c -->z</P ><script>p</p>") == "x < y z"
+    assert text("<p>a</div></b>b<i>c</p>d") == "a b c"
+    assert text("<p>" + "a<b>" * 3000) == " ".join("a" * 3000)
+
+
+def test_unescape_as_the_standard_does(spark):
+    import html as standard
+    import random
+
+    chosen = random.Random(2)
+    bits = ["&amp;", "&lt", "&notit;", "&notin;", "&#65;", "&#x41", "&#0;", "&#128;", "&#x9f;", "&#55296;", "&#1114112;",
+            "&#99999999999;", "&#11;", "&nbsp", "&Eacute;t", "&eacutet", "&;", "&", "& ", "&#", "&#x", "&#xZ;", "x", "<", "é",
+            "&unknown;", "&ampamp;", "&#00065;", "&CounterClockwiseContourIntegral;", "&#127;", "&#13;", "&#xFFFE;", "&bne;"]
+    texts = ["".join(chosen.choice(bits) for _ in range(chosen.randint(0, 6))) for _ in range(800)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", html.unescape(F.col("t")).alias("u")).collect()
+    assert [(r.t, r.u) for r in found] == [(t, standard.unescape(t)) for t in texts]
 
 
 def test_heading_and_hrefs(spark):
