@@ -101,9 +101,9 @@ def gram_page_frequency(pages: DataFrame, n: int, page: str = "id_page") -> Data
     return _with_parts(counts, n).select(page, *gram_words(n), "repetition_count")
 
 
-def dictionary(frequency: DataFrame, keys: list[str], id_column: str) -> DataFrame:
-    """Distinct terms with dense ids in term order and the pages each occurs on."""
-    terms = frequency.groupBy(*keys).agg(F.count(F.lit(1)).alias("page_count"))
+def dictionary(frequency: DataFrame, keys: list[str], id_column: str, *sums: Column) -> DataFrame:
+    """Distinct terms with dense ids in term order, the pages each occurs on, and further sums."""
+    terms = frequency.groupBy(*keys).agg(F.count(F.lit(1)).alias("page_count"), *sums)
     return assign_ids(terms, keys, id_column)
 
 

@@ -405,14 +405,13 @@ def _first(rows: DataFrame):
 def _word_tables(spark, sf_dir):
     """Stored pages, words with their totals, and their counts on pages."""
     counts = materialize(freq.word_page_frequency(fx.corpus(spark, sf_dir)), "word_page")
-    terms = freq.dictionary(counts, ["word"], "id_word")
-    totals = counts.groupBy("word").agg(F.sum("quantity").alias("total_repetitions"))
-    facts = materialize(freq.relation(counts, terms, ["word"]), "facts")
+    terms = freq.dictionary(counts, ["word"], "id_word", F.sum("quantity").alias("total_repetitions"))
+    facts = materialize(freq.relation(counts, terms.drop("total_repetitions"), ["word"]), "facts")
     return _stored(
         spark,
         {
             "page": _page_table(spark, sf_dir),
-            "word": terms.drop("page_count").join(totals, "word"),
+            "word": terms.drop("page_count"),
             "word_page": facts.select("id_word", "id_page", "quantity"),
         },
     )
