@@ -1,19 +1,23 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every document gets a uniform key from the hash of its id. A source takes the
-documents below a threshold, which is found without sorting documents: sizes
+Every document gets a uniform key from the hash of its id and text. A source
+takes the documents below a threshold, which is found without sorting documents: sizes
 are summed by source and leading key bits, the bucket in which the running sum
 passes the budget is split by the next bits, and so on until that bucket holds
 one key. A smaller budget takes a subset of what a larger one takes, and a
 rerun takes the same documents. A budget above the source's size takes all of
-it once and a thresholded part again.
+it once and a thresholded part again. Rows of one id and text share a key; where
+the threshold is theirs, as many of these equal rows are taken as come nearest
+to the budget, counted by task and numbered within tasks, so that a key with a
+third of all rows is never in one place.
 
 Targets: ``share`` of all sizes by weight, at most ``repeats`` times a source's
 size; what is cut off goes to the others by weight.
 
 Nulls: a null source is a source of its own, last in order; a null text has
-size 0; null ids share one key. Rows with equal ids are taken together. An
-empty table gives no rows; sources without words get the target 0.
+size 0; a null id counts as an empty one. Which of equal rows are taken depends
+on where they lie in the table, how many does not. An empty table gives no
+rows; sources without words get the target 0.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pageloom.llm.common import WORD, join_small, narrow, packed
 from pageloom.scratch import materialize
 
 KEY_BITS = 60
+_ROW_BITS = 33  # monotonically_increasing_id() keeps the partition above these
 LEVEL_BITS = 12
 
 
@@ -74,7 +79,7 @@ def thresholds(facts: DataFrame, targets: DataFrame) -> DataFrame:
             F.lit(0).cast("long").alias("_prefix"),
             F.lit(True).alias("_open"),
             F.lit(None).cast("long").alias("_cross"),
-            F.lit(False).alias("_with"),
+            F.lit(0).cast("long").alias("_take"),
         ),
         "state",
     )
@@ -89,6 +94,7 @@ def thresholds(facts: DataFrame, targets: DataFrame) -> DataFrame:
         # at most 2 ** LEVEL_BITS rows for each source
         sums = inside.groupBy("_s", F.shiftright("_key", shift).alias("_bucket")).agg(
             F.sum("size").alias("_size"),
+            F.count("*").alias("_rows"),
             F.min("_key").alias("_low"),
             F.max("_key").alias("_high"),
             F.first("_left").alias("_budget"),
@@ -97,11 +103,12 @@ def thresholds(facts: DataFrame, targets: DataFrame) -> DataFrame:
             sums.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
             .filter(F.col("_before") + F.col("_size") > F.col("_budget"))
             .groupBy("_s")
-            .agg(F.min_by(F.struct("_bucket", "_size", "_low", "_high", "_before"), "_bucket").alias("_b"))
+            .agg(F.min_by(F.struct("_bucket", "_size", "_rows", "_low", "_high", "_before"), "_bucket").alias("_b"))
         )
         single = F.col("_b._low") == F.col("_b._high")
         rest = F.col("_left") - F.col("_b._before")
         new = F.col("_open") & F.col("_b").isNotNull()
+        take = F.floor(rest * F.col("_b._rows") / F.col("_b._size") + 0.5)
         state = materialize(
             state.join(passed, "_s", "left").select(
                 "_s", "source_size", "target", "copies",
@@ -109,13 +116,13 @@ def thresholds(facts: DataFrame, targets: DataFrame) -> DataFrame:
                 F.when(new, F.col("_b._bucket")).otherwise(F.col("_prefix")).alias("_prefix"),
                 (new & ~single).alias("_open"),
                 F.when(new & single, F.col("_b._low")).otherwise(F.col("_cross")).alias("_cross"),
-                F.when(new & single, 2 * rest >= F.col("_b._size")).otherwise(F.col("_with")).alias("_with"),
+                F.when(new & single, take).otherwise(F.col("_take")).alias("_take"),
             ),
             "state",
         )
         if state.filter("_open").isEmpty():
             break
-    return state.select("_s", "source_size", "target", "copies", "_cross", "_with")
+    return state.select("_s", "source_size", "target", "copies", "_cross", "_take")
 
 
 def _source() -> Column:
@@ -123,7 +130,10 @@ def _source() -> Column:
 
 
 def _key(seed: str) -> Column:
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    text = F.concat(
+        F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))),
+    )
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -143,14 +153,28 @@ def _limits(
     return facts, thresholds(facts, source_targets(facts, weights, share, repeats))
 
 
-def _times(repeats: int) -> Column:
-    """How often a document is taken under the thresholds of its source."""
-    last = F.col("_key") < F.col("_cross")
-    last = F.coalesce(last | ((F.col("_key") == F.col("_cross")) & F.col("_with")), F.lit(False))
-    # a source without words has no crossing key; its documents are taken once
-    bare = F.col("source_size") == 0
-    times = F.when(bare, 1).otherwise(F.col("copies") + last.cast("int"))
-    return F.least(times, F.lit(repeats)).cast("int")
+def _taken(rows: DataFrame, limits: DataFrame, repeats: int) -> DataFrame:
+    """``rows`` (with _s and _key) and how often each is taken, ``_n``, under the thresholds of its source."""
+    marked = join_small(rows.withColumn("_mark", F.monotonically_increasing_id()), limits, "_s")
+    at = F.coalesce(F.col("_key") == F.col("_cross"), F.lit(False))
+    part = F.shiftright("_mark", _ROW_BITS)
+    crossing = marked.filter(at).withColumn("_part", part)
+    # a row for each source and task that has rows at the threshold
+    counts = materialize(crossing.groupBy("_s", "_part").agg(F.count("*").alias("_rows")), "crossing")
+    earlier = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_s", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_s", "_part").orderBy("_mark"))
+    numbered = crossing.withColumn("_place", place).join(offsets, ["_s", "_part"])
+    last = F.when(at, F.col("_place") + F.col("_offset") <= F.col("_take")).otherwise(
+        F.coalesce(F.col("_key") < F.col("_cross"), F.lit(False))
+    )
+    # a source without words has no threshold; its documents are taken once
+    times = F.when(F.col("source_size") == 0, 1).otherwise(F.col("copies") + last.cast("int"))
+    times = F.least(times, F.lit(repeats)).cast("int").alias("_n")
+    none = F.lit(0).alias("_place"), F.lit(0).cast("long").alias("_offset")
+    columns = [*rows.columns, *[c for c in limits.columns if c != "_s"], "_place", "_offset"]
+    both = marked.filter(~at).select("*", *none).select(columns).unionByName(numbered.select(columns))
+    return both.select(*rows.columns, "source_size", "target", times)
 
 
 def mix_sources(
@@ -162,13 +186,8 @@ def mix_sources(
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), times."""
     facts, limits = _limits(docs, weights, share, repeats, seed)
-    return join_small(facts, limits, "_s").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * _times(repeats)).alias("taken"),
-        _times(repeats).alias("times"),
+    return _taken(facts, limits, repeats).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("_n")).alias("taken"), F.col("_n").alias("times")
     )
 
 
@@ -181,6 +200,6 @@ def mixture(
 ) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them."""
     _, limits = _limits(docs, weights, share, repeats, seed)
-    placed = join_small(packed(docs, _source().alias("_s"), _key(seed).alias("_key")), limits, "_s")
-    taken = placed.select("_doc", _times(repeats).alias("_n")).filter("_n > 0")
+    placed = packed(docs, _source().alias("_s"), _key(seed).alias("_key"))
+    taken = _taken(placed, limits, repeats).select("_doc", "_n").filter("_n > 0")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), "_n"))).select("_doc.*")

@@ -40,7 +40,8 @@ FROM cut
 MIX = r"""
 WITH facts AS MATERIALIZED (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT
+           AS key
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM facts GROUP BY source
@@ -62,14 +63,16 @@ WITH facts AS MATERIALIZED (
 ), budgets AS (
   SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS copies FROM targets
 ), keys AS (
-  SELECT source, key, sum(size) AS key_size,
+  SELECT source, key, sum(size) AS key_size, count(*) AS n,
          sum(sum(size)) OVER (PARTITION BY source ORDER BY key) - sum(size) AS before
   FROM facts GROUP BY source, key
 )
 SELECT f.doc_id, f.size::BIGINT AS size, b.source_size, b.target,
-       (f.size * least(2, b.copies + CASE WHEN 2 * (b.target - b.copies * b.source_size - k.before)
-                                               >= k.key_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM facts f
+       (f.size * least(2, b.copies + CASE
+          WHEN b.target - b.copies * b.source_size - k.before >= k.key_size THEN 1
+          WHEN f.place <= floor((b.target - b.copies * b.source_size - k.before) * k.n / k.key_size + 0.5) THEN 1
+          ELSE 0 END))::BIGINT AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY source, key) AS place FROM facts) f
 JOIN budgets b ON f.source IS NOT DISTINCT FROM b.source
 JOIN keys k ON f.source IS NOT DISTINCT FROM k.source AND f.key = k.key
 """

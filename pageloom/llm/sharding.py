@@ -32,7 +32,9 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         "sizes",
     )
     order = ["doc_id", "text_crc32", "size"]
-    ordered = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    # equal rows are interchangeable; the last column deals them out
+    tied = sized.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    ordered = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     marked = materialize(ordered.withColumn("_mark", F.monotonically_increasing_id()), "ordered")
     marked = marked.withColumn("_part", F.shiftright("_mark", _ROW_BITS))
 

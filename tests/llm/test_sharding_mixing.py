@@ -1,9 +1,11 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from pageloom.llm.mixing import mix_sources, mixture
 from pageloom.llm.sharding import byte_shards
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import odd_rows, prose
 
 
 def test_shards_are_contiguous_and_equal(odd):
@@ -84,3 +86,30 @@ def test_smaller_mix_is_nested(documents):
     small = {r["doc_id"]: r["times"] for r in mix_sources(documents, share=0.4).collect()}
     large = {r["doc_id"]: r["times"] for r in mix_sources(documents, share=0.7).collect()}
     assert all(large[i] >= n for i, n in small.items())
+
+
+def test_targets_hold_where_one_id_has_a_third_of_a_source(spark):
+    """Equal rows are counted out, so the words taken lie within half a row of the target."""
+    rows = [(None, "one two three", "a")] * 700 + [(5, "four five", "b")] * 900
+    rows += [(i, prose(i, 1 + i % 9), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for seed in ("mix", "one", "two", "three"):
+        found = mix_sources(docs, seed=seed).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+        assert len(found) == 2
+        assert all(abs(r["taken"] - r["target"]) <= 9 for r in found)
+    again = mix_sources(docs.repartition(3))
+    assert Counter(again.collect()) == Counter(mix_sources(docs).collect())
+    assert mixture(docs).count() == mix_sources(docs).agg(F.sum("times")).first()[0]
+
+
+def test_shards_of_equal_rows(spark):
+    rows = [(None, None)] * 500 + [(3, "same text")] * 700 + [(i, "x" * i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = byte_shards(docs).collect()
+    assert len(found) == len(rows)
+    sizes = Counter()
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in found)
+    for shard in sizes:
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
