@@ -56,7 +56,7 @@ def _mix(codes: np.ndarray) -> np.ndarray:
 class Lattice:
     """Word probabilities under piece log-probabilities; picklable, bounded by the vocabulary."""
 
-    def __init__(self, pieces: list[str], scores: np.ndarray):
+    def __init__(self, pieces: list[str], scores: np.ndarray, ranks: bool = False):
         self.byte = np.full(256, -1)
         self.ids: dict[str, int] = {}
         for i, piece in enumerate(pieces):
@@ -68,7 +68,7 @@ class Lattice:
             raise ValueError("the vocabulary lacks byte pieces")
         used = np.array(sorted(self.ids.values()))
         weights = np.zeros(len(pieces) + 1)  # the last is the end of a document
-        if len(used) and scores[used].min() < -1000:  # ranks, not log-probabilities
+        if ranks:  # the order of pieces, not their log-probabilities
             rank = np.argsort(np.argsort(-scores[used], kind="stable"), kind="stable")
             weights[used] = 1 / (rank + RANK_OFFSET)
         else:
@@ -288,12 +288,16 @@ def lattice_scores(
     rounds: int = 2,
     smoothing: float = 0.1,
     most: int = FREQUENT,
+    ranks: bool = True,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows with crc32(id) mod ``modulus`` equal to ``held`` are not learned from.
     ``base_score`` is the add-one word unigram, ``score`` the lattice's log10
-    probability. ``vocabulary`` is a sentencepiece model with byte pieces.
+    probability. ``vocabulary`` is a sentencepiece model with byte pieces, whose
+    scores are ``ranks`` (a BPE model) or log-probabilities (a unigram model, to
+    be taken with ``rounds=0`` where it should not be fitted again). Sums of
+    doubles over shuffles may differ in the last digits between runs.
     """
     texts = narrow(docs, "doc_id", "text").withColumn("held_out", remainder("doc_id", modulus) == held)
     table = materialize(
@@ -306,7 +310,7 @@ def lattice_scores(
     distinct = stats[1] + (1 if ends else 0)
     bottom = math.log10(tokens + distinct + 1)
 
-    lattice = fit(table, Lattice(*read_pieces(vocabulary)), ends, rounds, smoothing)
+    lattice = fit(table, Lattice(*read_pieces(vocabulary), ranks), ends, rounds, smoothing)
     shared = docs.sparkSession.sparkContext.broadcast(lattice)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -94,7 +94,7 @@ def test_long_words_are_learned(spark):
 
 
 def test_installed_vocabulary_has_no_clashing_hashes():
-    lattice = Lattice(*read_pieces(MODEL))
+    lattice = Lattice(*read_pieces(MODEL), ranks=True)
     words = ["the", "house", "thtionre", "naïve"]
     assert np.allclose(lattice.log_probabilities(words), [lattice._walk(w) for w in words])
 
@@ -141,3 +141,22 @@ def test_scores(odd, documents, texts):
 
 def test_empty(empty):
     assert lattice_scores(empty, MODEL).count() == 0
+
+
+def test_given_log_probabilities_are_kept(spark, monkeypatch):
+    """Scores are ranks only where that is said, whatever their size."""
+    scores = np.log(np.arange(1, len(PIECES) + 1) / 1000.0)
+    scores[PIECES.index("aba")] = -1500.0
+    lattice = Lattice(PIECES, scores)
+    used = sorted(set(lattice.ids.values()) - {PIECES.index("aba")})
+    assert np.ptp(lattice.logp[used] - scores[used]) < 1e-12
+    ranked = Lattice(PIECES, -np.arange(len(PIECES), dtype=float), ranks=True)
+    weights = np.exp(ranked.logp[[PIECES.index(START), PIECES.index(START + "a")]])
+    assert abs(weights[0] / weights[1] - (1 + lattice_module.RANK_OFFSET) / lattice_module.RANK_OFFSET) < 1e-9
+    # without rounds the given model scores the texts
+    monkeypatch.setattr(lattice_module, "read_pieces", lambda path: (PIECES, scores))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["ab ba", "aab", ""])], "doc_id long, text string")
+    for r in lattice_scores(docs, "", rounds=0, ranks=False).collect():
+        text = ["ab ba", "aab", ""][r["doc_id"]]
+        expected = (sum(lattice.log_probabilities(text.split())) if text else 0.0) + lattice.logp[-1]
+        assert abs(r["score"] - expected / math.log(10)) < 1e-9
