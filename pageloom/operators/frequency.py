@@ -102,9 +102,12 @@ def gram_page_frequency(pages: DataFrame, n: int, page: str = "id_page") -> Data
 
 
 def dictionary(frequency: DataFrame, keys: list[str], id_column: str, *sums: Column) -> DataFrame:
-    """Distinct terms with dense ids in term order, the pages each occurs on, and further sums."""
+    """Distinct terms with dense ids in term order, the pages each occurs on, and further sums.
+
+    Terms are written before they are ordered: finding the ranges reads them once more.
+    """
     terms = frequency.groupBy(*keys).agg(F.count(F.lit(1)).alias("page_count"), *sums)
-    return assign_ids(terms, keys, id_column)
+    return assign_ids(materialize(terms, "terms"), keys, id_column)
 
 
 def relation(frequency: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:

@@ -204,7 +204,7 @@ def update(spark: SparkSession, source: str, folder: str, k: int = 10) -> dict[s
         )
 
         word, page_word = _words(batch, touched, stored, page)
-        replaced = {"page": page, "word": word}
+        replaced = {"page": page, "word": materialize(word, "word")}
         segments = {
             "link": links,
             "page_word": page_word.select("id_page", "id_word", "quantity", "percentage", "fraction"),
@@ -224,12 +224,12 @@ def update(spark: SparkSession, source: str, folder: str, k: int = 10) -> dict[s
                 F.col("shared_sets_count").alias("shared"), "rank",
             )
             found, owners = _partners(now.toDF("item", "page"), touched, lists, k, symmetric=n == 3)
-            segments[f"shared{n}"] = found.select(
+            segments[f"shared{n}"] = materialize(found, f"shared{n}").select(
                 F.col("page1").alias("id_page1"), F.col("page2").alias("id_page2"),
                 F.col("shared").alias("shared_sets_count"), "rank",
             )
             live = _moved(live, f"near{n}", owners.toDF("id_page"), len(places[f"shared{n}"]))
-        extend(folder, {**replaced, "live": live}, segments)
+        extend(folder, {**replaced, "live": materialize(live, "live")}, segments)
     return counts
 
 

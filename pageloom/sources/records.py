@@ -94,7 +94,7 @@ def read_first(spark: SparkSession, path: str, limit: int) -> DataFrame:
     """
     ranges = spark.read.parquet(f"{path}/_ranges").filter(F.col("before") < limit)
     last = ranges.agg(F.max("_range")).first()[0]
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(spark.read.parquet(f"{path}/_schema").schema).parquet(path)
     return rows.filter(F.col("_range") <= (-1 if last is None else last)).drop("_range")
 
 

@@ -45,9 +45,13 @@ def write_ranked(df: DataFrame, path: str, order: list[Column]) -> None:
     a key, so that no range of equal rows falls to one task.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.withColumn("_range", F.spark_partition_id()).write.mode("overwrite").partitionBy("_range").parquet(path)
+    numbered = ranged.withColumn("_range", F.spark_partition_id())
+    numbered.write.mode("overwrite").partitionBy("_range").parquet(path)
+    # a table without rows has no ranges to take its schema from
+    numbered.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
     # one row a range; the counts come from the files' footers
-    sizes = df.sparkSession.read.parquet(path).groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+    stored = df.sparkSession.read.schema(numbered.schema).parquet(path)
+    sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before")
     sizes.select("_range", before).coalesce(1).write.mode("overwrite").parquet(f"{path}/_ranges")
