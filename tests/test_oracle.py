@@ -30,11 +30,7 @@ def test_query_matches_sql(spark, sf_dir, database, name):
     columns = sorted(result.columns)
     found = ordered(tuple(row[column] for column in columns) for row in result.collect())
     assert found
-    sql = ORACLE.get(name)
-    if sql is None:
-        assert name in ("page_text", "page_text_innermost")
-        return
-    cursor = database.execute(sql)
+    cursor = database.execute(ORACLE[name])
     names = [column[0] for column in cursor.description]
     types = {column[0]: str(column[1]) for column in cursor.description}
     assert sorted(names) == columns
