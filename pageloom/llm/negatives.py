@@ -13,8 +13,9 @@ block lie. A pass over the zone maps alone finds how many rows certainly lie
 above which score, and from it the blocks that each anchor must read: for
 positives, those whose range reaches the surely attained rank; for windows,
 those whose range meets one of the anchor's windows and reaches what is surely
-attained there. Only these blocks' rows are read and scored. While it reads, a
-task carries the lowest score that still counts for each anchor and window.
+attained there. Only these blocks are read. While it reads, a task carries the
+lowest score that still counts for each anchor and window, and a block that
+cannot reach it for an anchor any more is not scored for it.
 
 Anchors are taken in blocks of bounded size, all other data stays distributed.
 
@@ -35,10 +36,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import BROADCAST_ROWS
 from pageloom.scratch import materialize
 
 ROWS = 256  # rows of a block
-ANCHORS = 4096  # anchors that are dealt with at once
+ANCHORS = 16_384  # anchors that are dealt with at once
 BITS = 4  # of each dimension, for the place on the curve
 _NO_ID = np.iinfo(np.int64).max  # sorts after every id
 _LOWEST = np.iinfo(np.int64).min
@@ -261,32 +263,34 @@ def _best(blocks: DataFrame, sought: Sought) -> DataFrame:
         least[row["anchor"], row["window"]] = row["least"]
     bounds = spark.sparkContext.broadcast(least)
 
+    def reading(sought: Sought, least: np.ndarray, label: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The anchors that must read a block of this label and range."""
+        who = sought.of_label(label)
+        if len(who):
+            bottom, top = ranges(sought.anchors.vectors[who], low, high)
+            who = who[sought.needed(bottom[:, 0], top[:, 0], least, who)]
+        return who
+
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sought, least = shared.value, bounds.value
         for batch in batches:
-            rows = []
-            for block, label, _, low, high in _zones(batch):
-                who = sought.of_label(label)
-                if len(who):
-                    bottom, top = ranges(sought.anchors.vectors[who], low, high)
-                    who = who[sought.needed(bottom[:, 0], top[:, 0], least, who)]
-                if len(who):
-                    bits = np.zeros(len(sought.anchors), dtype=bool)
-                    bits[who] = True
-                    rows.append((block, np.packbits(bits).tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["block", "who"])
+            needed = [block for block, label, _, low, high in _zones(batch) if len(reading(sought, least, label, low, high))]
+            yield pd.DataFrame({"block": needed}, dtype="int64")
 
-    chosen = materialize(zones.mapInPandas(choose, "block long, who binary"), "chosen")
+    chosen = materialize(zones.mapInPandas(choose, "block long"), "chosen")
+    # block numbers alone; beyond what may be broadcast all blocks are opened and most of them used
+    payload = blocks.join(F.broadcast(chosen), "block") if chosen.count() <= BROADCAST_ROWS else blocks
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sought, least = shared.value, bounds.value.copy()
         anchors, k = sought.anchors, sought.k
         kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for block, ids, vectors, who in zip(batch["block"], batch["ids"], batch["vectors"], batch["who"]):
+            for (block, label, _, low, high), ids, vectors in zip(_zones(batch), batch["ids"], batch["vectors"]):
+                who = reading(sought, least, label, low, high)
+                if not len(who):
+                    continue
                 ids = np.frombuffer(ids, "<i8")
-                who = np.flatnonzero(np.unpackbits(np.frombuffer(who, np.uint8), count=len(anchors)))
                 v = np.frombuffer(vectors, "<i4").reshape(len(ids), -1).astype(np.int64)
                 found = scores(anchors.vectors[who], v)
                 itself = np.flatnonzero(anchors.block[who] == block)
@@ -311,8 +315,7 @@ def _best(blocks: DataFrame, sought: Sought) -> DataFrame:
             s, d = (np.concatenate(part) for part in zip(*kept.values()))
             yield pd.DataFrame({"anchor": keys[:, 0], "window": keys[:, 1], "vec_id": d, "score": s})
 
-    payload = blocks.select("block", "ids", "vectors").join(chosen, "block")
-    found = payload.select("block", "ids", "vectors", "who").mapInPandas(
+    found = payload.select(*zones.columns, "ids", "vectors").mapInPandas(
         read, "anchor long, window long, vec_id long, score long"
     )
     order = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), F.asc("vec_id"))
