@@ -70,16 +70,21 @@ class Code:
             raise ValueError("an id has no code")
         end = np.cumsum(size)
         start = end - size
-        total = int(end[-1]) if len(ids) else 0
-        # a code touches at most four bytes: its first bit lies in byte start >> 3
-        shifted = self.codes[ids] << (32 - size - (start & 7)).astype(np.uint64)
-        first = start >> 3
-        out = np.zeros((total + 7) // 8 + 4)
-        for i in range(4):
-            part = ((shifted >> np.uint64(24 - 8 * i)) & np.uint64(255)).astype(np.float64)
-            # bits do not overlap, so sums are unions
-            out += np.bincount(first + i, part, minlength=len(out))
-        return out[: (total + 7) // 8].astype(np.uint8).tobytes(), start[::CHECKPOINT].astype(np.uint32)
+        marks = start[::CHECKPOINT].astype(np.uint32)
+        if not len(ids):
+            return b"", marks
+        total = int(end[-1])
+        # a code lies in the 64-bit word of its first bit, and may reach into the next
+        word, room = start >> 6, 64 - (start & 63) - size
+        codes = self.codes[ids]
+        over = np.flatnonzero(room < 0)
+        shifted = codes << np.maximum(room, 0).astype(np.uint64)
+        shifted[over] = codes[over] >> (-room[over]).astype(np.uint64)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out = np.zeros(total // 64 + 2, dtype=np.uint64)
+        out[word[first]] = np.bitwise_or.reduceat(shifted, first)
+        out[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
+        return out.astype(">u8").tobytes()[: (total + 7) // 8], marks
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         raw = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)

@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -280,7 +281,7 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
                 at, rows = int(place), []
                 for doc in docs:
                     mine = ids[at - int(place) :][: int(doc["n"])]
-                    got = zlib.crc32(mine.astype("<u4").tobytes()) if digest else mine.astype(np.int64)
+                    got = zlib.crc32(mine) if digest else mine.astype(np.int64)
                     rows.append((doc["doc_id"], at - int(doc["done"]), int(doc["done"]), len(mine), doc["last"], got))
                     at += len(mine)
                 frame = pd.DataFrame(rows, columns=["doc_id", "start", "done", "n", "last", name])
@@ -301,7 +302,7 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
         if digest:
             value = 0
             for got, n in zip(frame[name], frame["n"]):
-                value = join_crc(value, got, 4 * n)
+                value = join_crc(int(value), int(got), 4 * int(n))
         else:
             value = np.concatenate(list(frame[name]))
         row = (frame["doc_id"].iloc[0], frame["start"].iloc[0], frame["n"].sum(), value)
@@ -316,31 +317,33 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
     return whole.unionByName(long)
 
 
-def join_crc(first: int, second: int, length: int) -> int:
-    """crc32 of two byte strings put together, from theirs and the second's length.
-
-    Zero bytes appended to the first are a linear map of its checksum, which is
-    squared to cover the length.
-    """
+def _times(matrix: list[int], vector: int) -> int:
+    out = i = 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return out
 
-    def times(matrix: list[int], vector: int) -> int:
-        out = i = 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return out
 
+@cache
+def _zeros(power: int) -> list[int]:
+    """How 2 ** power appended zero bytes change a checksum: a linear map, by columns."""
+    if power:
+        half = _zeros(power - 1)
+        return [_times(half, column) for column in half]
     bit = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit; the CRC-32 polynomial
     for _ in range(3):
-        bit = [times(bit, row) for row in bit]
-    while length:
-        if length & 1:
-            first = times(bit, first)
-        length >>= 1
-        if length:
-            bit = [times(bit, row) for row in bit]
+        bit = [_times(bit, column) for column in bit]
+    return bit
+
+
+def join_crc(first: int, second: int, length: int) -> int:
+    """crc32 of two byte strings put together, from theirs and the second's length."""
+    for power in range(length.bit_length()):
+        if length >> power & 1:
+            first = _times(_zeros(power), first)
     return first ^ second
 
 
