@@ -193,6 +193,19 @@ def test_top_shared_within_and_beyond_the_budget(hot_corpus, monkeypatch, pairs,
     assert found == {pair: n for pair, n in brute(members).items() if n >= 2}
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_partner_search_writes_no_items(hot_corpus, monkeypatch, hot):
+    """Items move once, as hashes: neither their texts nor a copy of all postings is written."""
+    written, write = [], sim.materialize
+    monkeypatch.setattr(sim, "materialize", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    members, postings = hot_corpus
+    found = {(r.page1, r.page2): r.shared for r in sim.shared_pairs(postings, 1, hot).collect()}
+    assert found == brute(members)
+    sim.top_shared(postings, 4, True, hot).collect()
+    assert written
+    assert not [name for name, columns in written if "item" in columns]
+
+
 def test_hot_class_is_joined_in_cells(spark, monkeypatch):
     monkeypatch.setattr(sim, "CELL", 7)
     data = [("x", m) for m in range(40)] + [("y", m) for m in range(0, 40, 2)]
