@@ -215,6 +215,42 @@ def test_hot_class_is_joined_in_cells(spark, monkeypatch):
     assert found == brute(members)
 
 
+def test_groups_are_numbered_without_a_join(spark, tmp_path, monkeypatch):
+    """Dense numbers in key order; rows move once, so they are written and joined to no dictionary."""
+    import pageloom.operators.ids as ids
+
+    written, write = [], ids.materialize
+    monkeypatch.setattr(ids, "materialize", lambda df, name: written.append(df) or write(df, name))
+    data = [(f"w{i % 7}", f"v{i % 3}", i, i % 5 or None) for i in range(200)] + [("w1", "", 999, 1)]
+    counts = spark.createDataFrame(data, "word1 string, word2 string, id_page long, n int").repartition(5)
+    sums = {"total": F.sum("n")}
+    groups, facts = ids.number_groups(counts, ["word1", "word2"], "id_page", "id_set2", sums)
+    expected = {}
+    for one, two, page, n in data:
+        expected.setdefault((one, two), []).append((page, n))
+    keys = {key: at for at, key in enumerate(sorted(expected), 1)}
+    assert rows(groups) == [
+        (keys[key], *key, len(expected[key]), sum(n or 0 for _, n in expected[key])) for key in sorted(expected)
+    ]
+    assert {tuple(r) for r in facts.select("id_set2", "id_page", "n").collect()} == {
+        (keys[one, two], page, n) for one, two, page, n in data
+    }
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 1 and plan.count("rangepartitioning") == 1 and "hashpartitioning" not in plan
+    assert "Join" not in plan
+    none = ids.number_groups(counts.filter("false"), ["word1", "word2"], "id_page", "id_set2")
+    assert [table.count() for table in none] == [0, 0]
+
+
+def test_counts_of_pages_move_texts_only(spark, sf_dir):
+    from pageloom.plans import fixtures as fx
+
+    counts = freq.gram_page_frequency(fx.corpus_by_page(spark, sf_dir), 3)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "word_list" not in plan[plan.index("Exchange hashpartitioning") :]
+
+
 # Graph
 
 
