@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,34 @@ def test_partner_search_writes_no_items(hot_corpus, monkeypatch, hot):
     assert not [name for name, columns in written if "item" in columns]
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_candidates_are_looked_up_in_cells(hot_corpus, monkeypatch, symmetric):
+    """Pairs of small classes are not written, and codes are copied for blocks of pages, not for pairs."""
+    members, postings = hot_corpus
+    expected = rows(sim.top_shared(postings, 4, symmetric, hot=10_000))
+    for name in ("PAIRS_PER_TASK", "CODES_PER_CELL", "_CODES_AT_ONCE"):
+        monkeypatch.setattr(sim, name, 20)
+    written, write = [], sim.materialize
+    monkeypatch.setattr(sim, "materialize", lambda df, name: written.append(name) or write(df, name))
+    assert rows(sim.top_shared(postings, 4, symmetric, hot=5)) == expected
+    assert "best" in written and "cold" not in written
+
+
+def test_overlaps_of_a_cell():
+    def code(number, weight):
+        return (number << 31) | weight
+
+    sides = pa.table({
+        "right": [False, False, True, True],
+        "member": [1, 2, 8, 7],
+        "codes": [[code(1, 5), code(3, 2)], [code(4, 9)], [code(1, 5), code(2, 1), code(3, 2)], [code(3, 2)]],
+    })
+    pairs = pa.table({"page1": [1, 1, 2, 1, 6], "page2": [7, 8, 8, 9, 7], "shared": [10, 0, 3, 4, 5]})
+    assert sim._add_overlaps(pairs, sides)["shared"].to_pylist() == [12, 7, 3, 4, 5]
+    assert sim._add_overlaps(pairs, sides.slice(0, 0))["shared"].to_pylist() == [10, 0, 3, 4, 5]
+    assert sim._add_overlaps(pairs.slice(0, 0), sides).num_rows == 0
+
+
 def test_hot_class_is_joined_in_cells(spark, monkeypatch):
     monkeypatch.setattr(sim, "CELL", 7)
     data = [("x", m) for m in range(40)] + [("y", m) for m in range(0, 40, 2)]
