@@ -220,6 +220,36 @@ def test_candidates_are_looked_up_in_cells(hot_corpus, monkeypatch, symmetric):
     assert "best" in written and "cold" not in written
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_pairs_are_made_in_as_many_tasks_as_they_need(hot_corpus, monkeypatch, hot):
+    """However small their lists are, which would bring all pairs into one task."""
+    members, postings = hot_corpus
+    expected = brute(members)
+    for name in ("PAIRS_PER_TASK", "PAIRS_PER_CELL", "_CODES_AT_ONCE"):
+        monkeypatch.setattr(sim, name, 25)
+    pairs = sim.shared_pairs(postings, 1, hot)
+    assert {(r.page1, r.page2): r.shared for r in pairs.collect()} == expected
+    assert pairs.rdd.getNumPartitions() >= len(expected) // 25
+
+
+def test_pairs_of_a_cell():
+    def code(number, weight):
+        return (number << 31) | weight
+
+    cell = pa.table({
+        "right": [False, False, True, True],
+        "alone": [False] * 4,
+        "member": [9, 2, 8, 7],
+        "codes": [[code(1, 5), code(3, 2)], [code(4, 9)], [code(1, 5), code(2, 1), code(3, 2)], [code(3, 2), code(4, 9)]],
+    })
+    found = {tuple(row.values()) for row in sim._pairs_of_cell(cell).to_pylist()}
+    assert found == {(8, 9, 7), (7, 9, 2), (2, 7, 9)}
+    assert sim._pairs_of_cell(cell.slice(2)).num_rows == 0
+    alone = cell.set_column(0, "right", pa.array([False] * 4)).set_column(1, "alone", pa.array([True] * 4))
+    found = {tuple(row.values()) for row in sim._pairs_of_cell(alone).to_pylist()}
+    assert found == {(8, 9, 7), (7, 9, 2), (7, 8, 2), (2, 7, 9)}
+
+
 def test_overlaps_of_a_cell():
     def code(number, weight):
         return (number << 31) | weight
