@@ -10,7 +10,7 @@ from pageloom.functions.text import collated
 from pageloom.operators import frequency as freq
 from pageloom.operators import graph, prepare
 from pageloom.operators import similarity as sim
-from pageloom.operators.ids import assign_ids
+from pageloom.operators.ids import assign_ids, number_groups
 from pageloom.operators.joins import join_on_skewed_key
 from pageloom.plans import fixtures as fx
 
@@ -139,6 +139,34 @@ def corpus_with_hot_items(seed):
     return members
 
 
+@pytest.mark.parametrize("name", ["word_page_relation", "words_of_page", "top_pages_by_word"])
+def test_counted_words_meet_their_ids_without_a_join(spark, sf_dir, monkeypatch, name):
+    """A join moves all counted words once more as soon as the dictionary is too large to be sent."""
+    from pageloom.plans.queries import QUERIES
+
+    def joined(*args):
+        raise AssertionError("counted words are joined")
+
+    monkeypatch.setattr(freq, "join_on_skewed_key", joined)
+    assert QUERIES[name](spark, sf_dir).count()
+
+
+def test_counts_of_dealt_pages_are_not_shuffled(spark, sf_dir):
+    counts = freq.page_word_counts(fx.corpus_by_page(spark, sf_dir))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert rows(freq.with_shares(counts).select("id_page", "word", "quantity", "percentage", "fraction")) == rows(
+        freq.page_word_share(fx.corpus(spark, sf_dir))
+    )
+
+
+def test_groups_are_numbered_without_their_counts(spark):
+    counts = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "id_page long, word string")
+    groups, facts = number_groups(counts, ["word"], "id_page", "id_word", page_count=False)
+    assert groups.columns == ["id_word", "word"] and rows(groups) == [(1, "a"), (2, "b")]
+    assert rows(facts) == [(1, 2), (2, 1), (2, 3)]
+
+
 @pytest.fixture(scope="module", params=[1, 2])
 def hot_corpus(spark, request):
     members = corpus_with_hot_items(request.param)
