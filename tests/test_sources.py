@@ -51,6 +51,19 @@ def test_jsonl_round_trip(spark, source, tmp_path):
     assert rows(load_pages(spark, str(tmp_path / "copy"))) == rows(pages)
 
 
+def test_jsonl_is_written_compressed(spark, tmp_path):
+    words = ["word"] * 5000
+    pages = spark.createDataFrame([("u", "t", words)], "url string, title string, word_list array<string>")
+    sizes = {}
+    for kind in ("gzip", "none"):
+        sinks.write_jsonl(pages, str(tmp_path / kind), *([] if kind == "gzip" else [kind]))
+        files = list((tmp_path / kind).glob("part-*"))
+        assert all(file.name.endswith(".json.gz" if kind == "gzip" else ".json") for file in files)
+        sizes[kind] = sum(file.stat().st_size for file in files)
+        assert load_pages(spark, str(tmp_path / kind)).first()["word_list"] == words
+    assert sizes["gzip"] < sizes["none"] / 5
+
+
 def test_complete_job(spark, source, tmp_path):
     folder = str(tmp_path / "tables")
     run(spark, source, folder)
