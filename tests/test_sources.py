@@ -2,9 +2,12 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from pageloom.operators import lookup
+from pageloom.operators.prepare import with_terms
 from pageloom.plans.job import run
+from pageloom.plans.queries import QUERIES
 from pageloom.schema import TABLES
 from pageloom.scratch import materialize, scratch_root
 from pageloom.sources import sinks
@@ -166,3 +169,26 @@ def test_ranked_copy_opens_the_first_files_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_range" in plan
     sinks.write_ranked(table.limit(0), path, order)
     assert read_first(spark, path, 10).count() == 0
+
+
+def test_dictionaries_follow_from_one_pass_over_the_texts(spark, sf_dir, tmp_path, monkeypatch):
+    texts = ["", None, "solo", "zwei worte", "eins zwei drei", "eins zwei drei", "drei eins zwei drei eins", "! ?"]
+    pages = with_terms(spark.createDataFrame(list(enumerate(texts)), "id_page long, text string"), stopwords=[])
+    words = [(text or "").replace("!", "").replace("?", "").split() for text in texts]
+    stored = sinks.write_dictionaries(pages, {n: str(tmp_path / f"d{n}") for n in (1, 2, 3)})
+    for n, folder in stored.items():
+        expected = {" ".join(w[i : i + n]) for w in words for i in range(len(w) - n + 1)}
+        assert rows(spark.read.parquet(folder)) == sorted((item,) for item in expected)
+    empty = sinks.write_dictionaries(pages.limit(0), {n: str(tmp_path / f"e{n}") for n in (1, 2, 3)})
+    assert [spark.read.parquet(empty[n]).count() for n in (1, 2, 3)] == [0, 0, 0]
+
+    cut = []
+
+    def counted(writer, path, *args, write=DataFrameWriter.parquet, **options):
+        cut.append("regexp_replace" in writer._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    found = QUERIES["summary"](spark, sf_dir).first()
+    assert found["total_pages"] > 0 and found["total_words"] < found["total_word_pairs"] < found["total_word_triplets"]
+    assert sum(cut) == 1

@@ -49,6 +49,13 @@ def test_ngrams(spark):
             assert df.select(ngrams(F.col("w"), n)).first()[0] == expected
 
 
+def test_ngrams_from_shorter_ones(spark):
+    for words in ([], ["a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]):
+        df = spark.createDataFrame([(words,)], "w array<string>").withColumn("pairs", ngrams(F.col("w"), 2))
+        made = df.select(ngrams(F.col("w"), 3, F.col("pairs")), ngrams(F.col("w"), 3)).first()
+        assert made[0] == made[1]
+
+
 def test_ngrams_bridge_removed_stop_words(spark):
     words = kept_words(F.col("t"))
     assert one(spark, ngrams(words, 2), t="cat on the mat") == ["cat mat"]
