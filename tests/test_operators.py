@@ -248,6 +248,26 @@ def test_candidates_are_looked_up_in_cells(hot_corpus, monkeypatch, symmetric):
     assert "best" in written and "cold" not in written
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_best_partners_are_chosen_where_pairs_are_made(hot_corpus, monkeypatch, symmetric):
+    """Beyond 16 pairs a posting too, neither pairs nor candidates are written."""
+    members, postings = hot_corpus
+    expected = rows(sim.top_shared(postings, 4, symmetric, hot=5))
+    monkeypatch.setattr(sim, "PAIRS_PER_POSTING", 0)
+    written, write = [], sim.materialize
+    monkeypatch.setattr(sim, "materialize", lambda df, name: written.append(name) or write(df, name))
+    assert rows(sim.top_shared(postings, 4, symmetric)) == expected
+    assert not {"best", "fresh", "nearest"} & set(written)
+    # many blocks, and few pages and columns at once
+    for name, value in {"CODES_PER_BLOCK": 20, "_CODES_AT_ONCE": 15, "_ROWS_AT_ONCE": 3, "_COLUMN_BITS": 2}.items():
+        monkeypatch.setattr(sim, name, value)
+    assert rows(sim.top_shared(postings, 4, symmetric)) == expected
+    # beyond the larger budget, the search goes by bounds
+    monkeypatch.setattr(sim, "PAIRS_IN_CELLS", 0)
+    assert rows(sim.top_shared(postings, 4, symmetric)) == expected
+    assert "best" in written
+
+
 @pytest.mark.parametrize("hot", [None, 3])
 def test_pairs_are_made_in_as_many_tasks_as_they_need(hot_corpus, monkeypatch, hot):
     """However small their lists are, which would bring all pairs into one task."""
