@@ -160,6 +160,34 @@ def test_counts_of_dealt_pages_are_not_shuffled(spark, sf_dir):
     )
 
 
+def test_joined_keys_are_numbered_in_the_order_of_their_words(spark):
+    """Also where words begin with one another or hold control characters, and in files in that order."""
+    words = ["a", "a\x00", "a\x01", "a\x02b", "a\x1f", "ab", "a!", "\x01", "é", "\x00", "\x1f", "b"]
+    data = [(one, two, page, page) for one in words for two in words for page in (3, 1, 2)]
+    counts = spark.createDataFrame(data, "word1 string, word2 string, id_page long, n long").repartition(5)
+    keys = {key: at for at, key in enumerate(sorted({row[:2] for row in data}), 1)}
+    groups, facts = number_groups(counts, ["word1", "word2"], "id_page", "id_set2", joined=True)
+    assert groups.columns == ["id_set2", "word1", "word2", "page_count"]
+    assert rows(groups) == [(number, *key, 3) for key, number in keys.items()]
+    assert rows(facts) == sorted((keys[row[:2]], *row[2:]) for row in data)
+    parts = facts.rdd.map(tuple).glom().collect()
+    assert all(part == sorted(part) for part in parts)
+
+
+def test_dictionary_of_grams_moves_them_once(spark, monkeypatch):
+    from pageloom.operators import frequency, ids
+
+    written = []
+    for module in (frequency, ids):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, write=write: written.append(df) or write(df, name))
+    pages = spark.createDataFrame([(1, ["a b", "b c", "a b"]), (2, ["a b", "a a"])], "id_page long, bigrams array<string>")
+    assert rows(frequency.gram_dictionary(pages, 2)) == [(1, "a", "a", 1), (2, "a", "b", 2), (3, "b", "c", 1)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written]
+    assert sum("RepartitionByExpression" in plan for plan in plans) == 1
+    assert not any("Aggregate [word1" in plan for plan in plans)
+
+
 def test_groups_are_numbered_without_their_counts(spark):
     counts = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "id_page long, word string")
     groups, facts = number_groups(counts, ["word"], "id_page", "id_word", page_count=False)
