@@ -188,6 +188,25 @@ def test_dictionary_of_grams_moves_them_once(spark, monkeypatch):
     assert not any("Aggregate [word1" in plan for plan in plans)
 
 
+def test_postings_of_the_job_are_made_where_pages_lie(spark, monkeypatch):
+    """Texts move for counts only; numbered facts are not ranged again."""
+    from pageloom.plans import job
+
+    found, search = [], job.top_shared
+    monkeypatch.setattr(job, "top_shared", lambda postings, *a, **b: found.append(postings) or search(postings, *a, **b))
+    data = [(i, f"u{i}", "t", 0.0, ["a", "b", "c"], [], ["a b", "b c"], ["a b c"]) for i in range(1, 4)]
+    kinds = "id_page long, url string, title string, edits_per_day double, word_list array<string>, links array<string>, "
+    pages = spark.createDataFrame(data, kinds + "bigrams array<string>, trigrams array<string>")
+    tables = job.analysis_tables(pages)
+    assert rows(tables["set3_page"]) == [(1, page, 1) for page in (1, 2, 3)]
+    assert rows(tables["shared2"]) == [(1, 2, 2, 1), (1, 3, 2, 2), (2, 3, 2, 1)]
+    assert len(found) == 2
+    for postings in found:
+        assert "Repartition" not in postings._jdf.queryExecution().optimizedPlan().toString()
+    for name in job.ORDERED:
+        assert "Exchange rangepartitioning" not in tables[name]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_groups_are_numbered_without_their_counts(spark):
     counts = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "id_page long, word string")
     groups, facts = number_groups(counts, ["word"], "id_page", "id_word", page_count=False)
